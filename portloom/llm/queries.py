@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portloom.llm import mixing, quality, url_filter
+from portloom.llm import mixing, pieces, quality, simhash, url_filter
 from portloom.llm.common import table
 
 #: (host, path, verdict) of op1's contract.
@@ -26,10 +26,24 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+#: The vocabulary file of op9; ``pieces.encoded`` takes any other.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), PIECE_MODEL, ["doc_id"])
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_simhash": op10_simhash,
 }
 
 _OP1 = r"""
