@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portloom.llm import mixing, pieces, pii, quality, simhash, toxicity, url_filter
+from portloom.llm import mixing, pieces, pii, quality, repeats, simhash, toxicity, url_filter
 from portloom.llm.common import table
 
 #: (host, path, verdict) of op1's contract.
@@ -34,6 +34,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 #: The vocabulary file of op9; ``pieces.encoded`` takes any other.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
+    "op8_suffix_array": op8_suffix_array,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
