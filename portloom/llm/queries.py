@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from portloom.llm import lm, mixing, pieces, pii, quality, repeats, simhash, toxicity, url_filter
+from portloom.llm import lm, mixing, pieces, pii, quality, repeats, simhash, topk, toxicity, url_filter
 from portloom.llm.common import table
 
 #: (host, path, verdict) of op1's contract.
@@ -18,6 +19,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_top_k": op2_top_k,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
