@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Longest chunk whose ids are kept, chunks kept, and pairs of pieces kept, by each Python worker.
-KEPT_LENGTH, KEPT_CHUNKS, KEPT_PAIRS = 48, 250_000, 500_000
+KEPT_LENGTH, KEPT_CHUNKS, KEPT_PAIRS = 48, 500_000, 600_000
 #: Places between two looks for a common boundary in a long chunk.
 LOOK = 64
 _CHUNK = re.compile(r"\n+| *[^ \n]+| +")
@@ -48,12 +48,16 @@ class Pieces:
         self.score = {p: m.get_score(i) for p, i in self.ids.items()}
         self.byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        #: All texts within pieces, and the pieces that each of them ends in, longest first.
+        self.within = {p[j:k] for p in self.ids for j in range(len(p)) for k in range(j + 1, len(p) + 1)}
+        self.ends: dict[str, tuple[str, ...]] = {}
         self.spelled = [b""] * len(ids)
         for p, i in self.ids.items():
             self.spelled[i] = p.encode()
         for b, i in enumerate(self.byte):
             self.spelled[i] = bytes([b])
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -82,56 +86,95 @@ class Pieces:
         i = self.ids.get(piece)
         return (i,) if i is not None else tuple(self.byte[b] for b in piece.encode("utf-8", "surrogatepass"))
 
-    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids of a chunk of any length, in runs as soon as they are final."""
-        known, longest = self.ids, self.longest
-        base, last = 0, [""]  # last[k]: the piece that ends at base + k
-        for end in range(1, len(text) + 1):
-            found = ""
-            for start in range(max(base, end - longest), end):
-                piece = text[start:end]
-                if end - start > 1 and piece not in known:
+    def _ends(self, tail: str) -> tuple[str, ...]:
+        own = tuple([tail[k:] for k in range(len(tail)) if tail[k:] in self.ids or k == len(tail) - 1])
+        if tail in self.within:
+            self.ends[tail] = own
+        return own
+
+    def _search(self, text: str, base: int, last: list[str], tail: str, stop: int) -> str:
+        """Adds to ``last`` the piece that ends at each place up to ``stop``; last[k] ends at base + k.
+
+        ``tail``: the longest text before the next place that lies within some piece.
+        """
+        within, ends, pairs = self.within, self.ends, self.pairs
+        for end in range(base + len(last), stop + 1):
+            tail += text[end - 1]
+            while tail not in within and len(tail) > 1:
+                tail = tail[1:]
+            for piece in ends.get(tail) or self._ends(tail):
+                start = end - len(piece) - base
+                if start < 0:
                     continue
-                before = last[start - base]
-                if not before or self.follows(before, piece):
-                    found = piece
+                before = last[start]
+                if not before:
+                    break
+                fits = pairs.get((before, piece))
+                if fits or fits is None and self.follows(before, piece):
                     break
-            last.append(found)
-            if end % LOOK == 0 or end == len(text):
-                # Places from which a later piece can still start; at the end of the chunk only that.
-                alive = {end} if end == len(text) else {k for k in range(max(base, end + 1 - longest), end + 1) if k == base or last[k - base]}
-                while len(alive) > 1:
-                    at = max(alive)
-                    alive.discard(at)
-                    alive.add(max(base, at - len(last[at - base])))
-                at = alive.pop()
-                if at > base:
-                    out, k = [], at
-                    while k > base:
-                        out.append(last[k - base])
-                        k -= len(out[-1])
-                    yield tuple(i for p in reversed(out) for i in self._spell(p))
-                    # What ends at the boundary is still needed to judge what follows it.
-                    last = last[at - base :]
-                    base = at
+            last.append(piece)
+        return tail
+
+    def _path(self, base: int, last: list[str], at: int) -> tuple[int, ...]:
+        """Ids of the best way from ``base`` to ``at``."""
+        way, k, known, out = [], at - base, self.ids, []
+        while k > 0:
+            way.append(last[k])
+            k -= len(way[-1])
+        for p in reversed(way):
+            i = known.get(p)
+            if i is None:
+                out += self._spell(p)
+            else:
+                out.append(i)
+        return tuple(out)
+
+    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Ids of a chunk of any length, in runs as soon as they are final."""
+        base, last, tail, longest = 0, [""], "", self.longest
+        for stop in range(LOOK, len(text) + LOOK, LOOK):
+            end = min(stop, len(text))
+            tail = self._search(text, base, last, tail, end)
+            # Places from which a later piece can still start; at the end of the chunk only that.
+            alive = {end} if end == len(text) else set(range(max(base, end + 1 - longest), end + 1))
+            while len(alive) > 1:
+                at = max(alive)
+                alive.discard(at)
+                alive.add(max(base, at - len(last[at - base])))
+            at = alive.pop()
+            if at > base:
+                yield self._path(base, last, at)
+                # What ends at the boundary is still needed to judge what follows it.
+                last = last[at - base :]
+                base = at
+
+    def _kept(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a short chunk. When the table is full it becomes the older one, from which chunks in use come back."""
+        got = self.older.get(chunk)
+        if got is None:
+            last = [""]
+            self._search(chunk, 0, last, "", len(chunk))
+            got = self._path(0, last, len(chunk))
+        if len(self.chunks) >= KEPT_CHUNKS:
+            self.older, self.chunks = self.chunks, {}
+        self.chunks[chunk] = got
+        return got
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; none for null or empty."""
         out: list[int] = []
         if not text:
             return out
-        chunks = self.chunks
-        for m in _CHUNK.finditer(" " + text):
-            c = m.group()
-            got = chunks.get(c)
+        get = self.chunks.get
+        for c in _CHUNK.findall(" " + text):
+            got = get(c)
             if got is None:
                 if len(c) > KEPT_LENGTH:
                     for run in self.stream(c):
                         out.extend(run)
                     continue
-                if len(chunks) >= KEPT_CHUNKS:
-                    chunks.clear()
-                got = chunks[c] = tuple(i for run in self.stream(c) for i in run)
+                got = self._kept(c)
+                get = self.chunks.get
             out.extend(got)
         return out
 
