@@ -115,11 +115,11 @@ def thresholds(rated: DataFrame) -> DataFrame:
         pick = lambda k, v: F.max(F.when(F.col("rate") == k, v))
         return q.groupBy(*keys).agg(F.max("total").alias("total"), *[pick(k, F.col("q75") + width).alias(f"hi_{k}") for k in SLACK], *[pick(k, F.col("q25") - width).alias(f"lo_{k}") for k in TWO_SIDED])
     names = [f"hi_{k}" for k in SLACK] + [f"lo_{k}" for k in TWO_SIDED]
-    own, lang, every = fences(2, "lang", "source"), fences(1, "lang"), fences(0)
-    a, b, c = own.alias("a"), lang.alias("b"), every.alias("c")
-    joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").withColumn("_one", F.lit(1)).join(c.withColumn("_one", F.lit(1)), "_one", "left")
+    own, lang, every = fences(2, "lang", "source").alias("a"), fences(1, "lang").alias("b"), fences(0).first()
+    joined = own.join(lang, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
     enough = lambda t: F.col(f"{t}.total") >= MIN_GROUP
-    return joined.select("a.lang", "a.source", *[F.when(enough("a"), F.col(f"a.{k}")).when(enough("b"), F.col(f"b.{k}")).otherwise(F.col(f"c.{k}")).alias(k) for k in names])
+    corpus = lambda k: F.lit(every[k] if every is not None else None).cast("bigint")
+    return joined.select("a.lang", "a.source", *[F.when(enough("a"), F.col(f"a.{k}")).when(enough("b"), F.col(f"b.{k}")).otherwise(corpus(k)).alias(k) for k in names])
 
 
 def rated(docs: DataFrame) -> DataFrame:
