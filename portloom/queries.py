@@ -215,7 +215,7 @@ def line_graph(spark, sf_dir):
 
 
 @query(f"""WITH {_ENDS}, r AS (SELECT e.*, n.n_ports, row_number() OVER (PARTITION BY e.graph_id, e.node_id ORDER BY edge_seq) - 1 AS k FROM ends e JOIN nodes n USING (graph_id, node_id))
-SELECT graph_id, edge_seq, node_id, CASE WHEN k < n_ports THEN k END AS port FROM r""")
+SELECT graph_id, edge_seq, node_id, CASE WHEN k < n_ports THEN k END::INT AS port FROM r""")
 def port_allocation(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     return match.allocate_ports(n, endpoints(chain_edges(n)))
@@ -290,7 +290,7 @@ def connected_skeletons_n4(spark, sf_dir):
     return gen.skeletons(spark, 4).groupBy(F.size("edges").alias("n_edges")).agg(F.count(F.lit(1)).alias("n_graphs"))
 
 
-@query("SELECT * FROM (VALUES (1, 6), (2, 50), (3, 201), (4, 566)) t(k, n_colored)")
+@query("SELECT k, n_colored::BIGINT AS n_colored FROM (VALUES (1, 6), (2, 50), (3, 201), (4, 566)) t(k, n_colored)")
 def colored_skeletons_n4(spark, sf_dir):
     """The SQL holds the expected counts."""
     s = gen.skeletons(spark, 4)
@@ -315,7 +315,7 @@ def _symmetry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(cases, "name string, n int, edges array<array<int>>").mapInArrow(run, "name string, cycles array<int>, num bigint, den bigint")
 
 
-@query("""SELECT * FROM (VALUES ('c4', '1,1,1,1', 0.125), ('c4', '1,1,2', 0.25), ('c4', '2,2', 0.375), ('c4', '4', 0.25), ('p3', '1,1,1', 0.5), ('p3', '1,2', 0.5), ('k3', '1,1,1', 0.166666667), ('k3', '1,2', 0.5), ('k3', '3', 0.333333333)) t(name, cycles, share)""")
+@query("""SELECT name, cycles, share::DOUBLE AS share FROM (VALUES ('c4', '1,1,1,1', 0.125), ('c4', '1,1,2', 0.25), ('c4', '2,2', 0.375), ('c4', '4', 0.25), ('p3', '1,1,1', 0.5), ('p3', '1,2', 0.5), ('k3', '1,1,1', 0.166666667), ('k3', '1,2', 0.5), ('k3', '3', 0.333333333)) t(name, cycles, share)""")
 def cycle_index(spark, sf_dir):
     """The SQL holds the expected answers."""
     return _symmetry(spark).filter("name <> 'c6'").select("name", F.array_join("cycles", ",").alias("cycles"), F.round(F.col("num") / F.col("den"), 9).alias("share"))
@@ -350,7 +350,7 @@ GEN4 = [gen.Group("t2", "N", (0, 0, 0)), gen.Group("Methyl", "C", (0, 0, 0)), ge
 COUNT4 = [gen.Group("ester", "C(O)=O", (0, 1)), gen.Group("amine", "N", (0, 0, 0)), gen.Group("carbon", "C", (0, 0, 0, 0)), gen.Group("alkene", "C=C", (0, 0, 1, 1))]
 
 
-@query("SELECT * FROM (VALUES ('gen4', 1, 4), ('gen4', 2, 15), ('gen4', 3, 94), ('count4', 2, 15), ('count4', 3, 135)) t(alphabet, n, n_molecules)")
+@query("SELECT alphabet, n, n_molecules::BIGINT AS n_molecules FROM (VALUES ('gen4', 1, 4), ('gen4', 2, 15), ('gen4', 3, 94), ('count4', 2, 15), ('count4', 3, 135)) t(alphabet, n, n_molecules)")
 def exhaustive_generate(spark, sf_dir):
     """Distinct molecules by alphabet and number of groups; the SQL holds the expected counts."""
     parts = [gen.exhaustive(spark, n, g).select(F.lit(a).alias("alphabet"), F.lit(n).alias("n")) for a, g, ns in (("gen4", GEN4, (1, 2, 3)), ("count4", COUNT4, (2, 3))) for n in ns]
@@ -394,7 +394,7 @@ def max_packing(spark, sf_dir):
     return fragment.packed(_cases(spark)).select("case_id", "size", "n_packings", F.array_join(F.transform("packing", lambda m: F.array_join(m, "-")), " ").alias("packing"))
 
 
-@query("SELECT * FROM (VALUES (1, '0-1 2-3'), (2, '0-1 4-5'), (3, '0-1 4-5'), (4, '0-1 2-3 4-5')) t(case_id, packing)")
+@query("SELECT case_id::BIGINT AS case_id, packing FROM (VALUES (1, '0-1 2-3'), (2, '0-1 4-5'), (3, '0-1 4-5'), (4, '0-1 2-3 4-5')) t(case_id, packing)")
 def greedy_packing(spark, sf_dir):
     """The SQL holds the expected answers."""
     return _cases(spark).select("case_id", F.array_join(F.transform(fragment.greedy(F.col("matches")), lambda m: F.array_join(m, "-")), " ").alias("packing"))
@@ -403,7 +403,7 @@ def greedy_packing(spark, sf_dir):
 EXHAUSTIVE3 = [gen.Group("amine", "N", (0, 0, 0)), gen.Group("alkene_secondary_amine", "C(N(C))", (0, 0, 0, 1, 2, 2, 2)), gen.Group("alkene", "C", (0, 0, 0))]
 
 
-@query("SELECT * FROM (VALUES ('CCC(C)NCCNC', 5, 4), ('CCC(C)NCCNC', 7, 4), ('CCC(C)NCCNC', 9, 1)) t(smiles, n_groups, n_covers)")
+@query("SELECT smiles, n_groups, n_covers::BIGINT AS n_covers FROM (VALUES ('CCC(C)NCCNC', 5, 4), ('CCC(C)NCCNC', 7, 4), ('CCC(C)NCCNC', 9, 1)) t(smiles, n_groups, n_covers)")
 def exhaustive_fragment(spark, sf_dir):
     """The SQL holds the expected answers: nine covers in all."""
     m = spark.createDataFrame([("CCC(C)NCCNC",)], "smiles string")
@@ -421,7 +421,7 @@ def graph_to_smiles(spark, sf_dir):
     return spark.createDataFrame([(k, mol.write(gen.expand(g, e))) for k, (g, e) in cases.items()], "name string, smiles string")
 
 
-@query("SELECT * FROM (VALUES ('ethanol', 3), ('dimethyl ether', 1), ('propane', 2)) t(name, n_texts)")
+@query("SELECT name, n_texts::BIGINT AS n_texts FROM (VALUES ('ethanol', 3), ('dimethyl ether', 1), ('propane', 2)) t(name, n_texts)")
 def canonical_dedup(spark, sf_dir):
     """Texts of the same molecule share a key; the SQL holds the expected counts."""
     rows = [("ethanol", "CCO"), ("ethanol", "OCC"), ("ethanol", "C(O)C"), ("dimethyl ether", "COC"), ("propane", "CCC"), ("propane", "C(C)C")]
