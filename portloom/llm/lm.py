@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portloom.llm.common import LOWER_AZ, stored, words_of
+from portloom.llm.common import stored
 
 #: Words the network knows one by one; words whose counts are broadcast (the rest are joined). Both are fixed, whatever the corpus.
 HEAD, KNOWN = 4096, 120_000
-HEAD_CLASSES, TAIL_CLASSES = 48, 50
-HIDDEN, STEPS, LANES = 32, 16, 64
+HEAD_CLASSES, TAIL_CLASSES = 24, 50
+HIDDEN, STEPS, LANES = 32, 16, 96
 #: Tokens of a segment that training uses, of each so many tokens of a document, and rounds of averaging.
-SEGMENT, EVERY, ROUNDS = 64, 768, 2
-RATE = 0.06
+SEGMENT, EVERY, ROUNDS = 48, 1024, 2
+RATE, PASSES, UPDATES = 0.06, 6, 30
 #: Copies of the network that one task averages.
 FAN_IN = 16
 END = 0
@@ -47,17 +47,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def tokens(text: str | None) -> list[str]:
-    """Lower-cased words; the end is not among them."""
-    return words_of(text.translate(LOWER_AZ)) if text else []
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text, A-Z lower-cased; the end is not among them. Bytes split and lower-case at ASCII characters only, just as asked."""
+    return text.lower().split() if text else []
 
 
-def tail_class(word: str) -> int:
-    """Class of a word that the network doesn't know one by one, by its last character."""
+def tail_class(word: bytes) -> int:
+    """Class of a word that the network doesn't know one by one, by its last byte."""
     c = word[-1]
-    if "a" <= c <= "z":
-        return ord(c) - 97
-    return 26 + ord(c) % 8 if c < "\x80" else 34 + ord(c) % 16
+    return c - 97 if 97 <= c <= 122 else 26 + c % 8 if c < 128 else 34 + c % 16
+
+
+def _raw() -> Column:
+    """The text's bytes; workers need no decoded text."""
+    return F.col("text").cast("binary").alias("text")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +85,7 @@ class Vocabulary:
     words of which only the count is known.
     """
 
-    def __init__(self, top: list[tuple[str, int]], ends: int, total: int, distinct: int, tail: dict[int, tuple[int, int]]):
+    def __init__(self, top: list[tuple[bytes, int]], ends: int, total: int, distinct: int, tail: dict[int, tuple[int, int]]):
         words = [w for w, _ in top]
         self.code = {w: i + 1 for i, w in enumerate(words)}
         counts = np.array([ends, *(c for _, c in top)], float)
@@ -105,9 +108,8 @@ class Vocabulary:
         word_mass = np.bincount(cls, head, HEAD_CLASSES)[cls]
         self.word_bias = np.log(head / word_mass).astype(np.float32)
 
-    def codes(self, text: str | None) -> tuple[np.ndarray, list[str]]:
-        """Codes of a text and its end; -1 - k for a word without one that has tail class k; and those words."""
-        words = tokens(text)
+    def codes(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Codes of words and an end; -1 - k for a word without one that has tail class k; and those words."""
         get = self.code.get
         codes = np.array([get(w, -1) for w in words] + [END], np.int64)
         rare = np.flatnonzero(codes < 0)
@@ -220,11 +222,15 @@ class Network:
 
 
 def train(net: Network, v: Vocabulary, segments: np.ndarray) -> None:
-    """One pass over segments (rows of codes, the first being what stands before): Adagrad on each window."""
+    """Adagrad on each window of segments (rows of codes, the first being what stands before).
+
+    Few segments are passed over up to PASSES times, many once.
+    """
     if not len(segments):
         return
     acc = {k: np.full_like(p, 1e-2) for k, p in net.params().items()}
-    for at in range(0, len(segments), LANES):
+    passes = min(PASSES, 1 + UPDATES * LANES // len(segments))
+    for at in [*range(0, len(segments), LANES)] * passes:
         rows = segments[at : at + LANES]
         x, y = v.inputs(rows[:, :-1]).T, rows[:, 1:].T
         # Segments are padded with the end; pads weigh nothing.
@@ -257,47 +263,44 @@ def train(net: Network, v: Vocabulary, segments: np.ndarray) -> None:
             h = hs[-1]
 
 
-def log_likelihoods(net: Network, v: Vocabulary, docs: list[np.ndarray], lanes: int = 256, steps: int = 32) -> np.ndarray:
+def log_likelihoods(net: Network, v: Vocabulary, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
     """Natural log probability of each document's codes: network words whole, others their class.
 
     Documents follow one another in lanes; the state runs on through a document
     over all its windows and is zero at its start.
     """
-    out = np.zeros(len(docs))
     if not docs:
-        return out
+        return np.zeros(0)
     lanes = min(lanes, len(docs))
     fill, own = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     heap = [(0, k) for k in range(lanes)]
-    for i in order:
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
         n, k = heapq.heappop(heap)
         own[k].append(i)
         fill[k] = n + len(docs[i])
         heapq.heappush(heap, (fill[k], k))
     # Longest lanes first, so that the lanes still running are a leading run.
     by = np.argsort(-fill, kind="stable")
-    own, fill = [own[k] for k in by], fill[by]
-    codes = [np.concatenate([docs[i] for i in o]) for o in own]
-    doc = [np.repeat(o, [len(docs[i]) for i in o]) for o in own]
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    own, fill = [i for k in by for i in own[k]], fill[by]
+    sizes = np.array([len(docs[i]) for i in own])
+    codes, doc = np.concatenate([docs[i] for i in own]), np.repeat(own, sizes)
+    start = np.zeros(len(codes), bool)
+    start[np.cumsum(sizes) - sizes] = True
+    before = np.append(END, codes[:-1])
+    before[start] = END
+    x, cls, word = v.inputs(before), v.classes(codes), np.where((codes >= 0) & (codes < v.heads), codes, -1)
+    offset = np.cumsum(fill) - fill
+    h, lp = np.zeros((lanes, HIDDEN), np.float32), np.empty(len(codes))
     for t in range(0, int(fill[0]), steps):
         live = int((fill > t).sum())
-        y, d, start, ok, x = np.zeros((steps, live), np.int64), np.zeros((steps, live), np.int64), np.zeros((steps, live), bool), np.zeros((steps, live), bool), np.zeros((steps, live), np.int64)
-        for k in range(live):
-            c, e = codes[k][t : t + steps], doc[k][t : t + steps]
-            before = doc[k][t - 1] if t else -1
-            y[: len(c), k], d[: len(c), k], ok[: len(c), k] = c, e, True
-            x[1 : len(c), k] = c[:-1]
-            x[0, k] = codes[k][t - 1] if t else END
-            start[: len(c), k] = e != np.append(before, e[:-1])
-        x[start] = END
-        hs, _ = net.states(v.inputs(x), start, h[:live])
+        place = np.arange(t, t + steps)[:, None]
+        ok = place < fill[:live]
+        at = np.where(ok, offset[:live] + place, 0)
+        hs, _ = net.states(x[at], start[at] & ok, h[:live])
         h = hs[-1]
-        flat, y = hs[ok], y[ok]
-        lp = net.log_probs(flat, v.classes(y), np.where((y >= 0) & (y < v.heads), y, -1))
-        out += np.bincount(d[ok], lp, len(docs))
-    return out
+        at = at[ok]
+        lp[at] = net.log_probs(hs[ok], cls[at], word[at])
+    return np.bincount(doc, lp, len(docs))
 
 
 def _segments(v_bytes):
@@ -306,13 +309,15 @@ def _segments(v_bytes):
         for b in batches:
             rows, turn = [], []
             for key, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                codes, _ = v.codes(x.as_py())
-                whole = np.concatenate([[END], codes])
-                for k in range(0, len(codes), EVERY):
+                words = tokens(x.as_py())
+                n = len(words) + 1
+                for k in range(0, n, EVERY):
                     # A segment of each stretch, at a place that the key decides.
-                    room = max(1, min(EVERY, len(codes) - k) - SEGMENT + 1)
+                    room = max(1, min(EVERY, n - k) - SEGMENT + 1)
                     at = k + (key * 2654435761 + k) % room
-                    part = whole[at : at + SEGMENT + 1]
+                    part, _ = v.codes(words[max(at - 1, 0) : at + SEGMENT])
+                    # The code before the segment leads it; the end that codes() adds counts only where the text ends.
+                    part = np.append([END] * (at == 0), part[: SEGMENT + (at > 0)]).astype(np.int64)
                     rows.append(np.pad(part, (0, SEGMENT + 1 - len(part)), constant_values=END))
                     turn.append((key + k // EVERY) % ROUNDS)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)), SEGMENT + 1)
@@ -351,16 +356,16 @@ def _averaged(group: pd.DataFrame) -> pd.DataFrame:
 def learnt(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
     """Vocabulary, network and the counts of all words, from training documents (rid, text)."""
     spark = docs.sparkSession
-    counts = stored(docs.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(docs.select(_raw()).mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    top = [(r["word"].encode(), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
     heads = {w for w, _ in top[:HEAD]}
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, k = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for w, c in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if w not in heads:
                     n[tail_class(w)] += c
                     k[tail_class(w)] += 1
@@ -371,7 +376,7 @@ def learnt(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
     net = Network(v)
     shapes = {k: p.shape for k, p in net.params().items()}
     vb = spark.sparkContext.broadcast(pickle.dumps(v))
-    segments = stored(docs.mapInArrow(_segments(vb), "turn int, codes array<int>"), "segments")
+    segments = stored(docs.select("rid", _raw()).mapInArrow(_segments(vb), "turn int, codes array<int>"), "segments")
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(net.params())
         copies = stored(segments.filter(F.col("turn") == turn).select("codes").mapInArrow(_trainer(vb, start), "part string, n bigint, data binary").withColumn("copy", F.monotonically_increasing_id()), "copies")
@@ -398,7 +403,7 @@ def _scorer(vb, nb):
                 part = b.slice(at, 2048)
                 docs, lost = [], []
                 for x in part.column(1):
-                    c, rare = v.codes(x.as_py())
+                    c, rare = v.codes(tokens(x.as_py()))
                     docs.append(c)
                     lost.append(rare)
                 net_part = log_likelihoods(net, v, docs) / ln10
@@ -428,7 +433,7 @@ def scored(docs: DataFrame) -> DataFrame:
     v, net, counts = learnt(rows.filter("NOT held_out").select("rid", "text"))
     vb, nb = spark.sparkContext.broadcast(pickle.dumps(v)), spark.sparkContext.broadcast(net.params())
     names = f"rid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, net double, rare array<string>"
-    parts = stored(rows.select("rid", "text", "doc_id", "held_out").mapInArrow(_scorer(vb, nb), names), "parts")
+    parts = stored(rows.select("rid", _raw(), "doc_id", "held_out").mapInArrow(_scorer(vb, nb), names), "parts")
     # Words whose counts aren't broadcast meet them here; each is rare, so no key is hot.
     rare = parts.select("rid", F.explode("rare").alias("word")).join(counts, "word").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("seen"))
     z = math.log10(v.total + v.distinct + 1)

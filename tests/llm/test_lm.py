@@ -10,7 +10,7 @@ from portloom.llm import lm
 
 
 def vocabulary():
-    top = [(f"w{chr(97 + i % 26)}{i}", 200 - i) for i in range(150)]
+    top = [(f"w{chr(97 + i % 26)}{i}".encode(), 200 - i) for i in range(150)]
     old, lm.HEAD = lm.HEAD, 100
     try:
         return lm.Vocabulary(top, 50, 20_000, 400, {k: (5, 3) for k in range(0, lm.TAIL_CLASSES, 2)})
