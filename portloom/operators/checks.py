@@ -106,3 +106,13 @@ def free_valency(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     orders = bonds.groupBy("mol_id", F.col("src").alias("atom_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dst", "bond_order"))), lambda x: x["bond_order"]).alias("orders"))
     taken = F.coalesce(F.aggregate("orders", F.lit(0), lambda a, o: (a + o).cast("int")), F.lit(0))
     return atoms.join(orders, ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", "element", (F.col("valency") - taken).alias("free_valency"))
+
+
+def query_groups(groups: DataFrame, wanted: Mapping[str, object]) -> DataFrame:
+    """Groups of a library for which any of the attributes has the wanted value."""
+    test = F.lit(False)
+    for name, value in wanted.items():
+        if name not in groups.columns:
+            raise ValueError(f"groups have no attribute {name!r}")
+        test = test | F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+    return groups.filter(test)

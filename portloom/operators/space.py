@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portloom.model import endpoints
+from portloom.storage import checkpointed
 
 #: Rows of a block in the all-pairs similarity; a pair of blocks is one task's work.
 BLOCK_ROWS = 2048
@@ -131,7 +132,7 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     front = seen
     for k in range(1, most + 1):
         step = front.select("source", F.col("id").alias("a")).join(arcs, "a").select("source", F.col("b").alias("id")).distinct()
-        front = step.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(k)).checkpoint()
+        front = checkpointed(step.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(k)))
         if front.limit(1).count() == 0:
             break
         seen = seen.unionByName(front)
@@ -148,7 +149,7 @@ def shortest_paths(edges: DataFrame, source: int, target: int, most: int) -> Dat
     """All least-hop paths from source to target, as arrays; partial paths off the least distance never grow."""
     arcs = both_ways(edges)
     ids = edges.sparkSession.createDataFrame([(source,)], "id bigint")
-    d = distances(edges, ids, most).select("id", "hops").checkpoint()
+    d = checkpointed(distances(edges, ids, most).select("id", "hops"))
     end = d.filter(F.col("id") == target).first()
     paths = ids.select(F.array("id").alias("path"), "id")
     if end is None:
@@ -171,7 +172,7 @@ def wl_features(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """Betweenness of each node within its component, by Brandes' sums in one kernel per graph column ``g``."""
+    """Betweenness of each node of each graph: edges (g, i, j), Brandes' sums, one kernel per graph."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
@@ -197,4 +198,38 @@ def betweenness(edges: DataFrame) -> DataFrame:
                     score[y] += share[y] / 2
         return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(score), "id": list(score), "betweenness": list(score.values())})
 
-    return edges.groupBy("g").applyInPandas(kernel, "g bigint, id bigint, betweenness double")
+    return edges.groupBy("g").applyInPandas(kernel, "g string, id bigint, betweenness double")
+
+
+def eigenvector_centrality(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(id, centrality): power iteration over A + I, normalised each round; checkpointed every few rounds."""
+    arcs = both_ways(edges)
+    x = arcs.select(F.col("a").alias("id")).distinct().withColumn("x", F.lit(1.0))
+    for k in range(rounds):
+        step = arcs.join(x.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("x").alias("near"))
+        y = x.join(step, "id").select("id", (F.col("x") + F.col("near")).alias("y"))
+        if k % 5 == 4 or k == rounds - 1:
+            y = checkpointed(y)
+        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("n")).first()["n"] if k % 5 == 4 or k == rounds - 1 else 1.0
+        x = y.select("id", (F.col("y") / F.lit(norm or 1.0)).alias("x"))
+    return x.withColumnRenamed("x", "centrality")
+
+
+def radius_edges(points: DataFrame, distance: float, tolerance: float) -> DataFrame:
+    """(i, j), i < j, for points (id, x, y) whose distance is ``distance`` within ``tolerance``: cells of that size meet their neighbours only."""
+    size = distance + tolerance
+    cell = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    a = cell.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), "cx", "cy", F.inline(around)).select("i", "x1", "y1", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    pairs = a.join(cell.select(F.col("id").alias("j"), "x", "y", "cx", "cy"), ["cx", "cy"]).filter("i < j")
+    d = F.sqrt(F.pow(F.col("x1") - F.col("x"), F.lit(2)) + F.pow(F.col("y1") - F.col("y"), F.lit(2)))
+    return pairs.filter(F.abs(d - distance) <= tolerance).select("i", "j")
+
+
+def projected(vectors: DataFrame, k: int = 2) -> DataFrame:
+    """Principal components (id, components) of vectors (id, v)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = vectors.select("id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("f"))
+    return PCA(k=k, inputCol="f", outputCol="p").fit(v).transform(v).select("id", vector_to_array("p").alias("components"))

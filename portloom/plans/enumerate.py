@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import product
+from itertools import combinations, product
 
 import pyarrow as pa
 import xxhash
@@ -70,6 +70,19 @@ def distinct_choices(groups: Sequence[Group], links: Sequence[tuple[int, int]])
     yield from grow(0, {}, [])
 
 
+def attachments(group: Group, degree: int) -> list[tuple[int, ...]]:
+    """Port sets of a size, one for each way to attach that differs: those with the same molecule once marked are the same."""
+    out: dict[str, tuple[int, ...]] = {}
+    for ports in combinations(range(len(group.hubs)), degree):
+        m = parse(group.pattern)
+        for p in ports:
+            m.elements.append("I")
+            m.valencies.append(1)
+            m.bonds.append((group.hubs[p], len(m.elements) - 1, 1.0))
+        out.setdefault(m.key(), ports)
+    return list(out.values())
+
+
 _GRAPH = "canonical_key string, smiles string, types array<string>, edges array<array<int>>"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from portloom.operators import checks, match, space
 from portloom.plans import enumerate as gen
 from portloom.plans import fragment
 from portloom.sources import export, text
+from portloom.storage import checkpointed, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,6 +280,49 @@ def ego_density(spark, sf_dir):
     return e.select("id", "n_nodes", "n_edges", *[F.round(c, 9).alias(c) for c in ("density", "mean_distance", "clustering")])
 
 
+_HOPS = 8
+_BFS = _NET + f""", bfs AS (SELECT id AS source, id, 0 AS hops FROM u WHERE id < 20
+UNION SELECT source, arcs.b, hops + 1 FROM bfs JOIN arcs ON arcs.a = bfs.id WHERE hops < {_HOPS}), near AS (SELECT source, id, min(hops) AS hops FROM bfs GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_BFS}, t AS (SELECT source, sum(hops)::DOUBLE AS s, (count(*) - 1)::DOUBLE AS r FROM near GROUP BY source)
+SELECT source AS id, round(CASE WHEN s > 0 THEN r / s * r / ((SELECT count(*) FROM u) - 1) ELSE 0 END, 9) AS closeness FROM t""")
+def closeness(spark, sf_dir):
+    """Of the twenty first nodes, within eight steps."""
+    v = _vectors(spark, sf_dir)
+    net = checkpointed(_network(spark, sf_dir))
+    return space.closeness(net, v.filter("id < 20").select("id"), v.count(), _HOPS).select("id", F.round("closeness", 9).alias("closeness"))
+
+
+@query(f"""WITH RECURSIVE {_NET}, p AS (SELECT [id] AS path, id FROM u WHERE id = 0 UNION ALL SELECT list_append(path, b), b FROM p JOIN arcs ON a = p.id WHERE len(path) < 5 AND NOT list_contains(path, b)),
+f AS (SELECT path FROM p WHERE id = 3) SELECT array_to_string(path, '-') AS path FROM f WHERE len(path) = (SELECT min(len(path)) FROM f)""")
+def shortest_paths(spark, sf_dir):
+    """From node 0 to node 3 in four steps at most."""
+    return space.shortest_paths(checkpointed(_network(spark, sf_dir)), 0, 3, 4).select(F.array_join("path", "-").alias("path"))
+
+
+@query(f"""WITH {_NODES}, s AS (SELECT graph_id, node_id, count(*) OVER (PARTITION BY graph_id) AS n FROM nodes)
+SELECT graph_id, node_id::BIGINT AS node_id, (node_id * (n - 1 - node_id))::DOUBLE AS betweenness FROM s WHERE n > 1""")
+def betweenness(spark, sf_dir):
+    """Chains have a closed form, which the SQL uses."""
+    e = chain_edges(_nodes(spark, sf_dir)).select(F.col("graph_id").alias("g"), F.col("src").cast("bigint").alias("i"), F.col("dst").cast("bigint").alias("j"))
+    return space.betweenness(e).select(F.col("g").alias("graph_id"), F.col("id").alias("node_id"), "betweenness")
+
+
+@query()
+def eigenvector_centrality(spark, sf_dir):
+    return space.eigenvector_centrality(checkpointed(_network(spark, sf_dir)), 10)
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, (s_suppkey // 10)::DOUBLE AS x, (s_suppkey % 10)::DOUBLE AS y FROM supplier)
+SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id < b.id WHERE abs(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - 1) <= 0.001""")
+def radius_edges(spark, sf_dir):
+    """Suppliers on a grid; each is linked to those next to it."""
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("id"), F.floor(k / 10).cast("double").alias("x"), (k % 10).cast("double").alias("y"))
+    return space.radius_edges(p, 1.0, 0.001)
+
+
 # --- symmetry and enumeration
 
 
@@ -365,6 +410,21 @@ def random_generate_seeded(spark, sf_dir):
     return gen.random_sample(spark, 3, GEN4, count=40, seed=5)
 
 
+@query("SELECT type, degree, n_sets::BIGINT AS n_sets FROM (VALUES ('methyl', 1, 1), ('methyl', 2, 1), ('methyl', 3, 1), ('ester', 1, 2), ('ester', 2, 1), ('alkene', 1, 1), ('alkene', 2, 2), ('alkene', 3, 1), ('alkene', 4, 1)) t(type, degree, n_sets)")
+def possible_attachments(spark, sf_dir):
+    """The SQL holds the expected counts."""
+    groups = [gen.Group("methyl", "C", (0, 0, 0)), gen.Group("ester", "C(=O)O", (0, 2)), gen.Group("alkene", "C=C", (0, 0, 1, 1))]
+    rows = [(g.type, d, len(gen.attachments(g, d))) for g in groups for d in range(1, len(g.hubs) + 1)]
+    return spark.createDataFrame(rows, "type string, degree int, n_sets bigint")
+
+
+@query("SELECT * FROM (VALUES ('0,1,2,3'), ('1,0,3,2'), ('2,3,0,1'), ('3,2,1,0'), ('0,2,1,3'), ('1,3,0,2'), ('2,0,3,1'), ('3,1,2,0')) t(image)")
+def edge_automorphisms(spark, sf_dir):
+    """Of a ring of four given as (0,2) (0,3) (1,2) (1,3); the SQL holds the expected answers."""
+    edges = [(0, 2, ""), (0, 3, ""), (1, 2, ""), (1, 3, "")]
+    return spark.createDataFrame([(",".join(map(str, p)),) for p in symmetry.edge_permutations([""] * 4, edges)], "image string")
+
+
 @query("WITH s AS (SELECT unnest([[0,0,0]]) AS h), m AS (SELECT unnest(range(8)) AS b) SELECT DISTINCT 'amine' AS type, repeat('0', bit_count(b::BIGINT)::INT) AS hubs FROM m")
 def valency_variants(spark, sf_dir):
     g = spark.createDataFrame([("amine", [0, 0, 0])], "type string, hubs array<int>")
@@ -483,6 +543,23 @@ def directed_export(spark, sf_dir):
     return export.to_directed(n, chain_edges(n))[1]
 
 
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT user_id, string_agg(event_type || ':' || n, ' ' ORDER BY event_type) AS composition FROM c GROUP BY user_id)
+SELECT DISTINCT composition FROM k WHERE composition NOT IN (SELECT composition FROM k WHERE user_id % 2 = 0)""")
+def dedup_sink(spark, sf_dir):
+    """A table takes the compositions of even users, then those of all; what the second call appends."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat_ws(":", x["event_type"], x["n"]))
+    c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.array_join(parts, " ").alias("composition"))
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    text.append_new(c.filter("user_id % 2 = 0").select("composition"), path, "composition")
+    return text.append_new(c.select("composition"), path, "composition")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size = 10 OR p_brand = 'Brand#1'")
+def library_query(spark, sf_dir):
+    """Parts as a library: any of the attributes may fit."""
+    return checks.query_groups(table(spark, sf_dir, "part"), {"p_size": 10, "p_brand": "Brand#1"}).select("p_partkey")
+
+
 @query()
 def wl_labels(spark, sf_dir):
     """Refined labels by how many graphs have them."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portloom.storage import checkpointed
+
 #: One port graph; an edge is [src, src_port, dst, dst_port, order].
 GRAPH_JSON = "nodes array<struct<id:int,ntype:string,pattern:string,patternType:string,ports:array<int>,hubs:array<int>>>, edges array<array<double>>"
 
@@ -53,8 +55,7 @@ def from_json(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
     """Appends rows whose key the Parquet table at ``path`` doesn't hold yet, each key once; returns what was appended.
 
-    The written rows are read back by the table's files of this call alone, so
-    running it again appends nothing.
+    Run again with the same rows it appends nothing.
     """
     spark = rows.sparkSession
     fresh = rows.dropDuplicates([key])
@@ -62,6 +63,6 @@ def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    fresh = fresh.checkpoint()
+    fresh = checkpointed(fresh)
     fresh.write.mode("append").parquet(path)
     return fresh
