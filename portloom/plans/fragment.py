@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portloom.functions import smarts
 from portloom.functions.molecules import FragmentationError, Molecule, parse, search
 from portloom.plans.enumerate import Group
 
@@ -135,3 +136,66 @@ def fragments(molecules: DataFrame, groups: Sequence[Group], on_fail: str = "rem
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["smiles", "cover", "n_groups", "types"])
 
     return molecules.select("smiles").mapInArrow(run, "smiles string, cover int, n_groups int, types array<string>")
+
+
+def fragment_states(m: Molecule, queries: Sequence[str], sorter: str = "list", mode: str = "ideal") -> list[tuple[tuple[int, tuple[int, ...]], ...]]:
+    """States reached by laying the queries' matches over the molecule in turn: (query, atoms) pairs, fewest first.
+
+    Each query branches into its packings; a group that overlaps what a state
+    holds is left out of that state. Queries go by number of atoms, then mass,
+    greatest first (``size``), or as listed (``list``).
+    """
+    if sorter not in ("size", "list"):
+        raise ValueError(f"unknown sorter {sorter!r}")
+    patterns = [smarts.parse(q) for q in queries]
+    order = list(range(len(queries)))
+    if sorter == "size":
+        order.sort(key=lambda i: (-len(patterns[i].atoms), -sum(smarts.MASS.get(s, 0.0) for s in patterns[i].symbols)))
+    view = smarts.View(m)
+    states: dict[tuple, None] = {(): None}
+    for i in order:
+        sets = packings(smarts.matches(view, patterns[i]), mode)
+        if not sets:
+            continue
+        new: dict[tuple, None] = {}
+        for state in states:
+            taken = {a for _, atoms in state for a in atoms}
+            for p in sets:
+                new[tuple(sorted([*state, *((i, atoms) for atoms in p if not taken & set(atoms))]))] = None
+        states = new
+    return sorted(states, key=lambda s: (len(s), s))
+
+
+def connections(m: Molecule, state: Sequence[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, float]]:
+    """Bonds between the groups of a state: (group, place in it, group, place in it, order)."""
+    at = {a: (g, k) for g, (_, atoms) in enumerate(state) for k, a in enumerate(atoms)}
+    return sorted((*min(at[u], at[v]), *max(at[u], at[v]), o) for u, v, o in m.bonds if u in at and v in at and at[u][0] != at[v][0])
+
+
+def laid_out(molecules: DataFrame, queries: Sequence[str], incomplete: str = "remove", sorter: str = "list", mode: str = "ideal") -> DataFrame:
+    """(smiles, result, chosen, queries, n_groups, n_edges, n_left) for each molecule and each way to lay the queries over it.
+
+    ``incomplete`` says what happens to results that leave atoms: ``remove``,
+    ``keep``, or ``raise error``. Null and empty molecules give no rows.
+    """
+    if incomplete not in ("remove", "keep", "raise error"):
+        raise ValueError(f"unknown handling {incomplete!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for s in b.column(0).to_pylist():
+                if not s:
+                    continue
+                m, k = parse(s), 0
+                for state in fragment_states(m, queries, sorter, mode):
+                    left = len(m.elements) - sum(len(atoms) for _, atoms in state)
+                    if left and incomplete == "raise error":
+                        raise FragmentationError(f"{left} atoms of {s!r} are left")
+                    if not left or incomplete == "keep":
+                        rows.append((s, k, [i for i, _ in state], [queries[i] for i, _ in state], len(state), len(connections(m, state)), left))
+                        k += 1
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["smiles", "result", "chosen", "queries", "n_groups", "n_edges", "n_left"])
+
+    return molecules.select("smiles").mapInArrow(run, "smiles string, result int, chosen array<int>, queries array<string>, n_groups int, n_edges int, n_left int")

@@ -15,7 +15,7 @@ from portloom.model import chain_edges, endpoints, event_nodes, order_nodes, tab
 from portloom.operators import checks, match, space
 from portloom.plans import enumerate as gen
 from portloom.plans import fragment
-from portloom.sources import export, text
+from portloom.sources import export, libraries, text
 from portloom.storage import checkpointed, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,6 +470,44 @@ def exhaustive_fragment(spark, sf_dir):
     return fragment.fragments(m, EXHAUSTIVE3).groupBy("smiles", "n_groups").agg(F.count(F.lit(1)).alias("n_covers"))
 
 
+#: Molecules with the queries laid over them.
+LAID_OUT = [
+    (1, "C(C)CO", ["[C]C", "[O]", "[C]"]),
+    (2, "CCOC", ["[O]C", "[C]"]),
+    (3, "C(C)CO", ["[C]C", "[O]C", "[C]", "[O]"]),
+    (4, "C(O)CO", ["[O]C", "[C]", "[O]"]),
+    (5, "COCO", ["[O]C", "[C]", "[O]"]),
+    (6, "COCO", ["[O]C"]),
+    (7, "C(O)(O)(O)OC", ["[O]C", "[C]C", "C", "O"]),
+    (8, "CCC1CCCCC1", ["[C;R]", "[C]C"]),
+    (9, "CNC(C(C)O)C(N)CCN", ["[C;R]", "[C](=O)O", "[C]O", "[C]C", "[O;X1]", "[C]", "[N]"]),
+]
+
+
+@query("SELECT case_id, n_results::BIGINT AS n_results FROM (VALUES (1, 2), (2, 2), (3, 2), (4, 1), (5, 1), (6, 1), (7, 3), (8, 1), (9, 1)) t(case_id, n_results)")
+def fragment_queries(spark, sf_dir):
+    """Complete results by case; the SQL holds the expected counts."""
+    parts = [fragment.laid_out(spark.createDataFrame([(s,)], "smiles string"), q).select(F.lit(i).alias("case_id")) for i, s, q in LAID_OUT]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_results"))
+
+
+@query("SELECT * FROM (VALUES ('joback', 41), ('saft', 36), ('unifac', 92)) t(library, n_groups)")
+def library_sizes(spark, sf_dir):
+    """The SQL holds the published sizes."""
+    return spark.createDataFrame([(k, len(v)) for k, v in libraries.LIBRARIES.items()], "library string, n_groups int")
+
+
+@query("""SELECT library, smiles, type, n::BIGINT AS n FROM (VALUES ('unifac', 'CC(C)C', 'CH', 1), ('unifac', 'CC(C)C', 'CH3', 3), ('joback', 'CC(C)C', '-CH3', 3), ('joback', 'CC(C)C', '>CH-', 1), ('saft', 'CC(C)C', 'CH3', 3), ('saft', 'CC(C)C', 'CH', 1), ('unifac', 'OCC(O)CO', 'OH (P)', 2), ('unifac', 'OCC(O)CO', 'CH2', 2), ('unifac', 'OCC(O)CO', 'CH', 1), ('unifac', 'OCC(O)CO', 'OH (S)', 1), ('joback', 'OCC(O)CO', '-OH (alcohol)', 3), ('joback', 'OCC(O)CO', '-CH2-', 2), ('joback', 'OCC(O)CO', '>CH-', 1), ('saft', 'OCC(O)CO', 'CH2OH', 2), ('saft', 'OCC(O)CO', 'CHOH', 1), ('unifac', 'O=CO', 'HCOO', 1), ('joback', 'O=CO', '-COOH (acid)', 1), ('saft', 'O=CO', 'COOH', 1), ('unifac', 'COC(C)=O', 'CH3COO', 1), ('unifac', 'COC(C)=O', 'CH3', 1), ('joback', 'COC(C)=O', '-CH3', 2), ('joback', 'COC(C)=O', '-COO- (ester)', 1), ('saft', 'COC(C)=O', 'CH3', 2), ('saft', 'COC(C)=O', 'COO', 1)) t(library, smiles, type, n)""")
+def library_fragments(spark, sf_dir):
+    """Groups of some molecules by library; the SQL holds the expected histograms."""
+    m = spark.createDataFrame([(s,) for s in ["CC(C)C", "COC(C)=O", "O=CO", "OCC(O)CO"]], "smiles string")
+    parts = [libraries.histograms(m, k).select(F.lit(k).alias("library"), "smiles", "type", "n") for k in libraries.LIBRARIES]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # --- molecules
 
 
