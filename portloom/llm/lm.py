@@ -8,8 +8,8 @@ count. So every text has a probability, unseen words too.
 
 Counts come from all training documents. The network is a GRU in numpy, trained
 by backpropagation through windows of ``STEPS`` tokens with the state carried
-from one to the next. Every training document gives segments in proportion to
-its length; each partition trains a copy from the same start, and copies are
+from one to the next, over all windows of every training document in each
+round. Each partition trains a copy from the same start, and copies are
 averaged in a tree, so neither a task nor the driver ever holds all of them.
 Scoring runs over whole documents and carries the state across windows.
 """
@@ -17,10 +17,11 @@ Scoring runs over whole documents and carries the state across windows.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,10 @@ from portloom.llm.common import stored
 #: Words the network knows one by one; words whose counts are broadcast (the rest are joined). Both are fixed, whatever the corpus.
 HEAD, KNOWN = 4096, 120_000
 HEAD_CLASSES, TAIL_CLASSES = 24, 50
-HIDDEN, STEPS, LANES = 32, 16, 96
-#: Tokens of a segment that training uses, of each so many tokens of a document, and rounds of averaging.
-SEGMENT, EVERY, ROUNDS = 48, 1024, 2
-RATE, PASSES, UPDATES = 0.06, 6, 30
+HIDDEN, STEPS, LANES, FIRST_LANES = 32, 16, 96, 4
+#: Rounds of averaging, each over all training documents; documents that a task sorts by length at a time.
+ROUNDS, CHUNK = 2, 1024
+RATE = 0.06
 #: Copies of the network that one task averages.
 FAN_IN = 16
 END = 0
@@ -203,8 +204,8 @@ class Network:
                 gs["word_b"][a:b] = p.sum(axis=0)
         return (out, dh, gs) if grad else out
 
-    def backward(self, x: np.ndarray, kept: tuple, dhs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of the gates at each step and of the recurrent weights; the state before the window is a constant."""
+    def backward(self, x: np.ndarray, kept: tuple, dhs: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the gates at each step and of the recurrent weights; the state before the window is a constant, and that before a ``start`` is zero."""
         d = HIDDEN
         dg, du = np.empty((*x.shape, 3 * d), np.float32), np.zeros_like(self.u)
         dh = np.zeros_like(dhs[0])
@@ -218,49 +219,78 @@ class Network:
             da = np.concatenate([dz, dr, dn * r], axis=1)
             du += h.T @ da
             dh = dh * z + da @ self.u.T
+            if start is not None and start[t].any():
+                dh = dh * ~start[t][:, None]
         return dg, du
 
 
-def train(net: Network, v: Vocabulary, segments: np.ndarray) -> None:
-    """Adagrad on each window of segments (rows of codes, the first being what stands before).
+def _sorted_chunks(docs: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Documents in chunks of CHUNK, the longest of each first, so that no long one is left to run alone."""
+    docs = iter(docs)
+    while chunk := list(itertools.islice(docs, CHUNK)):
+        yield from sorted(chunk, key=len, reverse=True)
 
-    Few segments are passed over up to PASSES times, many once.
+
+def train(net: Network, v: Vocabulary, docs: Iterable[np.ndarray]) -> int:
+    """Adagrad on each window of STEPS tokens of each document's codes, once; gives the number of tokens.
+
+    Lanes read one document after another to its end. The state runs on from
+    window to window and is zero where a document begins, which is where the
+    code before is an end. A lane more is opened with each window up to LANES,
+    so the first steps are small ones.
     """
-    if not len(segments):
-        return
     acc = {k: np.full_like(p, 1e-2) for k, p in net.params().items()}
-    passes = min(PASSES, 1 + UPDATES * LANES // len(segments))
-    for at in [*range(0, len(segments), LANES)] * passes:
-        rows = segments[at : at + LANES]
-        x, y = v.inputs(rows[:, :-1]).T, rows[:, 1:].T
-        # Segments are padded with the end; pads weigh nothing.
-        weight = np.cumsum(rows[:, 1:] == END, axis=1).T
-        weight = (weight - (y == END) == 0).astype(np.float32)
-        cls, word = v.classes(y), np.where((y >= 0) & (y < v.heads), y, -1)
-        h, begin = np.zeros((len(rows), HIDDEN), np.float32), np.zeros((STEPS, len(rows)), bool)
-        for t in range(0, SEGMENT, STEPS):
-            w = slice(t, t + STEPS)
-            live = np.flatnonzero(weight[w].reshape(-1))
-            if not len(live):
-                break
-            hs, kept = net.states(x[w], begin, h)
-            flat = hs.reshape(-1, HIDDEN)
-            _, dlive, gs = net.log_probs(flat[live], cls[w].reshape(-1)[live], word[w].reshape(-1)[live], grad=True)
-            dh = np.zeros_like(flat)
-            dh[live] = dlive
-            dg, gs["u"] = net.backward(x[w], kept, dh.reshape(hs.shape))
-            ids, inv = np.unique(x[w], return_inverse=True)
-            rows_g = np.zeros((len(ids), 3 * HIDDEN), np.float32)
-            np.add.at(rows_g, inv.reshape(-1), dg.reshape(-1, 3 * HIDDEN))
-            scale = 1 / len(live)
-            for k, g in gs.items():
-                g = g * scale * 30
-                acc[k] += g * g
-                getattr(net, k)[...] -= RATE * g / np.sqrt(acc[k])
-            rows_g *= scale * 30
-            acc["gates"][ids] += rows_g * rows_g
-            net.gates[ids] -= RATE * rows_g / np.sqrt(acc["gates"][ids])
-            h = hs[-1]
+    source, more, total = _sorted_chunks(docs), True, 0
+    rest: list[np.ndarray] = []
+    h, last = np.zeros((0, HIDDEN), np.float32), np.zeros(0, np.int64)
+    lanes = FIRST_LANES
+    while True:
+        # Lanes that ran out are closed, new ones opened.
+        keep = [k for k, r in enumerate(rest) if len(r) or more]
+        rest, h, last = [rest[k] for k in keep], h[keep], last[keep]
+        if more and len(rest) < lanes:
+            new = lanes - len(rest)
+            rest += [np.zeros(0, np.int64)] * new
+            h, last = np.concatenate([h, np.zeros((new, HIDDEN), np.float32)]), np.concatenate([last, np.full(new, END)])
+        lanes = min(LANES, lanes + 1)
+        y, ok = np.full((STEPS, len(rest)), END), np.zeros((STEPS, len(rest)), bool)
+        for k, r in enumerate(rest):
+            while more and len(r) < STEPS:
+                d = next(source, None)
+                more = d is not None
+                if more:
+                    r = np.concatenate([r, d]) if len(r) else d
+            n = min(STEPS, len(r))
+            y[:n, k], ok[:n, k] = r[:n], True
+            rest[k] = r[n:]
+        live = np.flatnonzero(ok.reshape(-1))
+        if not len(live):
+            return total
+        total += len(live)
+        before = np.concatenate([last[None], y[:-1]])
+        x, begin = v.inputs(before), before == END
+        cls, word = v.classes(y).reshape(-1), np.where((y >= 0) & (y < v.heads), y, -1).reshape(-1)
+        hs, kept = net.states(x, begin, h)
+        flat = hs.reshape(-1, HIDDEN)
+        _, dlive, gs = net.log_probs(flat[live], cls[live], word[live], grad=True)
+        dh = np.zeros_like(flat)
+        dh[live] = dlive
+        dg, gs["u"] = net.backward(x, kept, dh.reshape(hs.shape), begin)
+        # Rows of the same input are summed in runs.
+        flat_x = x.reshape(-1)
+        order = np.argsort(flat_x, kind="stable")
+        ids, at = np.unique(flat_x[order], return_index=True)
+        gs["gates"] = np.add.reduceat(dg.reshape(-1, 3 * HIDDEN)[order], at)
+        for k, g in gs.items():
+            g *= 30 / len(live)
+            rows = ids if k == "gates" else slice(None)
+            a = acc[k][rows] + g * g
+            acc[k][rows] = a
+            np.sqrt(a, out=a)
+            g *= RATE
+            g /= a
+            getattr(net, k)[rows] -= g
+        h, last = hs[-1], y[-1]
 
 
 def log_likelihoods(net: Network, v: Vocabulary, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
@@ -303,40 +333,13 @@ def log_likelihoods(net: Network, v: Vocabulary, docs: list[np.ndarray], lanes:
     return np.bincount(doc, lp, len(docs))
 
 
-def _segments(v_bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = pickle.loads(v_bytes.value)
-        for b in batches:
-            rows, turn = [], []
-            for key, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = tokens(x.as_py())
-                n = len(words) + 1
-                for k in range(0, n, EVERY):
-                    # A segment of each stretch, at a place that the key decides.
-                    room = max(1, min(EVERY, n - k) - SEGMENT + 1)
-                    at = k + (key * 2654435761 + k) % room
-                    part, _ = v.codes(words[max(at - 1, 0) : at + SEGMENT])
-                    # The code before the segment leads it; the end that codes() adds counts only where the text ends.
-                    part = np.append([END] * (at == 0), part[: SEGMENT + (at > 0)]).astype(np.int64)
-                    rows.append(np.pad(part, (0, SEGMENT + 1 - len(part)), constant_values=END))
-                    turn.append((key + k // EVERY) % ROUNDS)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)), SEGMENT + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), flat.cast(pa.list_(pa.int32()))], ["turn", "codes"])
-
-    return run
-
-
 def _trainer(v_bytes, start):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pickle.loads(v_bytes.value)
         net = Network(v)
         for k, p in start.value.items():
             getattr(net, k)[...] = p
-        n = 0
-        for b in batches:
-            codes = np.asarray(b.column(0).flatten()).reshape(-1, SEGMENT + 1).astype(np.int64)
-            train(net, v, codes)
-            n += len(codes)
+        n = train(net, v, (v.codes(tokens(x.as_py()))[0] for b in batches for x in b.column(0)))
         if n:
             yield _parts_batch(net.params(), n)
 
@@ -354,7 +357,7 @@ def _averaged(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def learnt(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
-    """Vocabulary, network and the counts of all words, from training documents (rid, text)."""
+    """Vocabulary, network and the counts of all words, from the texts of training documents."""
     spark = docs.sparkSession
     counts = stored(docs.select(_raw()).mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     ends = docs.count()
@@ -376,10 +379,9 @@ def learnt(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
     net = Network(v)
     shapes = {k: p.shape for k, p in net.params().items()}
     vb = spark.sparkContext.broadcast(pickle.dumps(v))
-    segments = stored(docs.select("rid", _raw()).mapInArrow(_segments(vb), "turn int, codes array<int>"), "segments")
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         start = spark.sparkContext.broadcast(net.params())
-        copies = stored(segments.filter(F.col("turn") == turn).select("codes").mapInArrow(_trainer(vb, start), "part string, n bigint, data binary").withColumn("copy", F.monotonically_increasing_id()), "copies")
+        copies = stored(docs.select(_raw()).mapInArrow(_trainer(vb, start), "part string, n bigint, data binary").withColumn("copy", F.monotonically_increasing_id()), "copies")
         left = copies.count()
         while left > len(shapes):
             # FAN_IN copies of a part to a task, until one is left.
@@ -430,7 +432,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), held_out(F.col("doc_id")).alias("held_out"))
-    v, net, counts = learnt(rows.filter("NOT held_out").select("rid", "text"))
+    v, net, counts = learnt(rows.filter("NOT held_out").select("text"))
     vb, nb = spark.sparkContext.broadcast(pickle.dumps(v)), spark.sparkContext.broadcast(net.params())
     names = f"rid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, net double, rare array<string>"
     parts = stored(rows.select("rid", _raw(), "doc_id", "held_out").mapInArrow(_scorer(vb, nb), names), "parts")

@@ -124,3 +124,52 @@ def test_empty_tables(spark):
     only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.scored(spark.createDataFrame([(only, "a b")], "doc_id bigint, text string")).first()
     assert (r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0.0)
+
+
+def test_gradients_stop_where_a_document_begins(network):
+    v, net = network
+    r = np.random.default_rng(5)
+    before = r.integers(1, v.heads, (6, 2))
+    before[3, 0] = before[1, 1] = lm.END
+    x, begin, y = v.inputs(before), before == lm.END, r.integers(0, v.heads, 12)
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    zero = np.zeros((2, lm.HIDDEN))
+
+    def after(t, lane, shift):
+        net.gates[x[t, lane]] += shift
+        hs, _ = net.states(x, begin, zero)
+        net.gates[x[t, lane]] -= shift
+        return -net.log_probs(hs.reshape(-1, lm.HIDDEN).astype(np.float64), v.classes(y), y).sum()
+
+    hs, kept = net.states(x, begin, zero)
+    _, dh, _ = net.log_probs(hs.reshape(-1, lm.HIDDEN), v.classes(y), y, grad=True)
+    dg, _ = net.backward(x, kept, dh.reshape(hs.shape), begin)
+    total = np.zeros_like(net.gates)
+    np.add.at(total, x, dg)
+    for t, lane in [(2, 0), (0, 1), (3, 0), (5, 1)]:
+        k = int(np.argmax(np.abs(total[x[t, lane]])))
+        shift = np.zeros(3 * lm.HIDDEN)
+        shift[k] = 1e-2
+        assert abs((after(t, lane, shift) - after(t, lane, -shift)) / 2e-2 - total[x[t, lane], k]) < 0.03 * abs(total[x[t, lane], k]) + 0.02
+
+
+def test_every_token_is_trained_on(network):
+    v, net = network
+    r = np.random.default_rng(6)
+    docs = [np.append(r.integers(1, v.heads, n), lm.END) for n in [0, 1, 15, 16, 17, 2500, *r.integers(1, 300, 200)]]
+    assert lm.train(net, v, iter(docs)) == sum(map(len, docs))
+    assert lm.train(net, v, iter([])) == 0
+
+
+def test_late_patterns_of_long_documents_are_learnt(spark, monkeypatch):
+    """One word stands after another once in 1,000 tokens, right before the end: few windows of a sample would hold it."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(lm, "HEAD", 60)
+    filler = [f"x{i}ta" for i in range(40)]
+    docs = [(i, " ".join([*(rnd.choice(filler) for _ in range(rnd.randrange(900, 1000))), "lastly", "goodbye"])) for i in range(120)]
+    v, net, _ = lm.learnt(spark.createDataFrame(docs, "rid bigint, text string"))
+    codes = lambda *words: v.codes([w.encode() for w in words])[0]
+    start = lm.Network(v)
+    score = lambda n: float(lm.log_likelihoods(n, v, [codes(*filler, "lastly", "goodbye")])[0] - lm.log_likelihoods(n, v, [codes(*filler, "lastly")[:-1]])[0])
+    assert score(net) > score(start) + 4
