@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -125,12 +126,13 @@ def ego_networks(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select("id", size.alias("n_nodes"), links.alias("n_edges"), density.alias("density"), F.when(F.col("d") > 0, 2 - density).otherwise(F.lit(0.0)).alias("mean_distance"), F.when(F.col("d") > 1, 2 * F.col("t") / (F.col("d") * (F.col("d") - 1))).otherwise(F.lit(0.0)).alias("clustering"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(source, id, hops): least number of steps, up to ``most``, by rounds of frontier joins; each round is checkpointed."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, id, hops): least number of steps, by rounds of frontier joins until none is new, or up to ``most``; each round is checkpointed."""
     arcs = both_ways(edges)
     seen = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"))
-    front = seen
-    for k in range(1, most + 1):
+    front, k = seen, 0
+    while most is None or k < most:
+        k += 1
         step = front.select("source", F.col("id").alias("a")).join(arcs, "a").select("source", F.col("b").alias("id")).distinct()
         front = checkpointed(step.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(k)))
         if front.limit(1).count() == 0:
@@ -139,9 +141,14 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def closeness(edges: DataFrame, sources: DataFrame, n: int, most: int) -> DataFrame:
-    """Closeness by reach: (r - 1) / sum of distances * (r - 1) / (n - 1), with r nodes reached."""
-    d = distances(edges, sources, most).groupBy("source").agg(F.sum("hops").alias("s"), (F.count(F.lit(1)) - 1).alias("r"))
+def closeness(edges: DataFrame, sources: DataFrame, n: int, most: int | None = None, blocks: int = 1) -> DataFrame:
+    """Closeness by reach: (r - 1) / sum of distances * (r - 1) / (n - 1), with r nodes reached; sources are taken in ``blocks``, one after another."""
+    parts = []
+    for k in range(blocks):
+        some = sources.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else sources
+        d = distances(edges, some, most).groupBy("source").agg(F.sum("hops").alias("s"), (F.count(F.lit(1)) - 1).alias("r"))
+        parts.append(checkpointed(d) if blocks > 1 else d)
+    d = functools.reduce(DataFrame.unionByName, parts)
     return d.select(F.col("source").alias("id"), F.when(F.col("s") > 0, F.col("r") / F.col("s") * F.col("r") / F.lit(float(max(n - 1, 1)))).otherwise(F.lit(0.0)).alias("closeness"))
 
 
@@ -201,17 +208,19 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return edges.groupBy("g").applyInPandas(kernel, "g string, id bigint, betweenness double")
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, centrality): power iteration over A + I, normalised each round; checkpointed every few rounds."""
-    arcs = both_ways(edges)
-    x = arcs.select(F.col("a").alias("id")).distinct().withColumn("x", F.lit(1.0))
-    for k in range(rounds):
-        step = arcs.join(x.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("x").alias("near"))
-        y = x.join(step, "id").select("id", (F.col("x") + F.col("near")).alias("y"))
-        if k % 5 == 4 or k == rounds - 1:
-            y = checkpointed(y)
-        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("n")).first()["n"] if k % 5 == 4 or k == rounds - 1 else 1.0
-        x = y.select("id", (F.col("y") / F.lit(norm or 1.0)).alias("x"))
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(id, centrality): power iteration over A + I, normalised and checkpointed each round, until the sum of changes is below n * ``tolerance``."""
+    arcs = checkpointed(both_ways(edges))
+    x = arcs.select(F.col("a").alias("id")).distinct()
+    n = x.count()
+    x = checkpointed(x.withColumn("x", F.lit(1.0 / max(n, 1))))
+    change = float("inf")
+    while n and change >= n * tolerance:
+        near = arcs.join(x.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("x").alias("near"))
+        y = checkpointed(x.join(near, "id").select("id", "x", (F.col("x") + F.col("near")).alias("y")))
+        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("n")).first()["n"]
+        change = y.agg(F.sum(F.abs(F.col("y") / norm - F.col("x"))).alias("d")).first()["d"]
+        x = y.select("id", (F.col("y") / F.lit(norm)).alias("x"))
     return x.withColumnRenamed("x", "centrality")
 
 

@@ -294,6 +294,14 @@ def closeness(spark, sf_dir):
     return space.closeness(net, v.filter("id < 20").select("id"), v.count(), _HOPS).select("id", F.round("closeness", 9).alias("closeness"))
 
 
+@query()
+def closeness_all(spark, sf_dir):
+    """Of all nodes, with no bound on steps; a block holds at most about 2,000 sources."""
+    v = _vectors(spark, sf_dir)
+    n = v.count()
+    return space.closeness(checkpointed(_network(spark, sf_dir)), v.select("id"), n, blocks=-(-n // 2000) or 1)
+
+
 @query(f"""WITH RECURSIVE {_NET}, p AS (SELECT [id] AS path, id FROM u WHERE id = 0 UNION ALL SELECT list_append(path, b), b FROM p JOIN arcs ON a = p.id WHERE len(path) < 5 AND NOT list_contains(path, b)),
 f AS (SELECT path FROM p WHERE id = 3) SELECT array_to_string(path, '-') AS path FROM f WHERE len(path) = (SELECT min(len(path)) FROM f)""")
 def shortest_paths(spark, sf_dir):
@@ -311,7 +319,7 @@ def betweenness(spark, sf_dir):
 
 @query()
 def eigenvector_centrality(spark, sf_dir):
-    return space.eigenvector_centrality(checkpointed(_network(spark, sf_dir)), 10)
+    return space.eigenvector_centrality(checkpointed(_network(spark, sf_dir)))
 
 
 @query("""WITH p AS (SELECT s_suppkey AS id, (s_suppkey // 10)::DOUBLE AS x, (s_suppkey % 10)::DOUBLE AS y FROM supplier)
