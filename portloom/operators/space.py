@@ -166,6 +166,31 @@ def shortest_paths(edges: DataFrame, source: int, target: int, most: int) -> Dat
     return paths.filter(F.col("id") == target).select("path")
 
 
+def weighted_shortest_paths(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """All paths of least weight from source to target, as arrays; edges (i, j, weight) with weights above 0.
+
+    Distances are relaxed until none changes, with no bound on steps; paths then
+    grow along the arcs that keep to them.
+    """
+    arcs = checkpointed(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "weight").union(edges.select("j", "i", "weight")))
+    if arcs.filter("weight <= 0").limit(1).count():
+        raise ValueError("weights must be above 0")
+    d = front = edges.sparkSession.createDataFrame([(source, 0.0)], "id bigint, d double")
+    while front.limit(1).count():
+        step = front.withColumnRenamed("id", "a").join(arcs, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.col("d") + F.col("weight")).alias("e"))
+        front = checkpointed(step.join(d, "id", "left").filter("d IS NULL OR e < d").select("id", F.col("e").alias("d")))
+        d = checkpointed(d.unionByName(front).groupBy("id").agg(F.min("d").alias("d")))
+    # Sums in another order may differ in the last digits.
+    near, far = d.select(F.col("id").alias("a"), F.col("d").alias("da")), d.select(F.col("id").alias("b"), F.col("d").alias("db"))
+    tight = checkpointed(arcs.join(near, "a").join(far, "b").filter("db > da AND abs(da + weight - db) <= 1e-12 * greatest(1.0, db)").select("a", "b").distinct())
+    paths = edges.sparkSession.createDataFrame([(target, [target])], "a bigint, path array<bigint>").join(near.select("a"), "a", "left_semi")
+    done = paths.filter(F.col("a") == source)
+    while paths.limit(1).count():
+        paths = checkpointed(paths.withColumnRenamed("a", "b").join(tight, "b").select("a", F.concat(F.array("a"), "path").alias("path")))
+        done = done.unionByName(paths.filter(F.col("a") == source))
+    return done.select("path")
+
+
 def wl_features(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """Counts of refined node labels (graph_id, label, n): each round a label becomes the hash of itself and its sorted neighbours'."""
     arcs = endpoints(edges).select("graph_id", "node_id", "other").distinct()

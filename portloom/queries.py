@@ -309,6 +309,12 @@ def shortest_paths(spark, sf_dir):
     return space.shortest_paths(checkpointed(_network(spark, sf_dir)), 0, 3, 4).select(F.array_join("path", "-").alias("path"))
 
 
+@query()
+def weighted_shortest_paths(spark, sf_dir):
+    """From node 0 to node 3, by least weight, with no bound on steps."""
+    return space.weighted_shortest_paths(checkpointed(_network(spark, sf_dir)), 0, 3).select(F.array_join("path", "-").alias("path"))
+
+
 @query(f"""WITH {_NODES}, s AS (SELECT graph_id, node_id, count(*) OVER (PARTITION BY graph_id) AS n FROM nodes)
 SELECT graph_id, node_id::BIGINT AS node_id, (node_id * (n - 1 - node_id))::DOUBLE AS betweenness FROM s WHERE n > 1""")
 def betweenness(spark, sf_dir):

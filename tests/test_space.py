@@ -36,3 +36,29 @@ def test_eigenvector_centrality_converges(spark):
     want = np.abs(np.linalg.eigh(a)[1][:, -1])
     got = {r["id"]: r["centrality"] for r in space.eigenvector_centrality(spark.createDataFrame(pairs, "i bigint, j bigint")).collect()}
     assert max(abs(got[i] - want[i]) for i in range(7)) < 1e-4
+
+
+def test_weighted_paths_of_many_steps(spark):
+    rnd = random.Random(3)
+    arcs = {(i, i + 1): 1.0 for i in range(7)} | {(0, 7): 50.0, (0, 4): 4.0, (2, 6): 4.0, (1, 9): 1.0}
+    for i, j in itertools.combinations(range(9), 2):
+        if rnd.random() < 0.2:
+            arcs.setdefault((i, j), float(rnd.randrange(6, 12)))
+    weight = arcs | {(j, i): w for (i, j), w in arcs.items()}
+    found = []
+
+    def walk(path, total):
+        if path[-1] == 7:
+            found.append((total, tuple(path)))
+            return
+        for (a, b), w in weight.items():
+            if a == path[-1] and b not in path:
+                walk([*path, b], total + w)
+
+    walk([0], 0.0)
+    best = min(found)[0]
+    want = sorted(p for t, p in found if t == best)
+    assert len(want) > 1 and max(map(len, want)) == 8
+    edges = spark.createDataFrame([(i, j, w) for (i, j), w in arcs.items()] + [(20, 21, 1.0)], "i bigint, j bigint, weight double")
+    assert sorted(tuple(r["path"]) for r in space.weighted_shortest_paths(edges, 0, 7).collect()) == want
+    assert space.weighted_shortest_paths(edges, 0, 21).count() == 0
