@@ -173,3 +173,21 @@ def test_late_patterns_of_long_documents_are_learnt(spark, monkeypatch):
     start = lm.Network(v)
     score = lambda n: float(lm.log_likelihoods(n, v, [codes(*filler, "lastly", "goodbye")])[0] - lm.log_likelihoods(n, v, [codes(*filler, "lastly")[:-1]])[0])
     assert score(net) > score(start) + 4
+
+
+def test_training_does_not_depend_on_batch_size(network):
+    import pickle
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    v, net = network
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice([w.decode() for w in v.code]) for _ in range(rnd.randrange(80))).encode() for _ in range(60)]
+    run = lm._trainer(SimpleNamespace(value=pickle.dumps(v)), SimpleNamespace(value=net.params()))
+    outs = []
+    for size in (60, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + size], pa.binary())], ["text"]) for k in range(0, 60, size)]
+        outs.append([b.to_pydict() for b in run(iter(batches))])
+    assert outs[0] == outs[1]
+    assert outs[0][0]["n"][0] == sum(len(t.split()) + 1 for t in texts)
