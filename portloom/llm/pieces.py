@@ -9,8 +9,8 @@ stands that test (kept in a table), and one piece does at each place.
 
 Pieces have a bounded length, so only the backpointers of one piece length
 can still be reached. When the paths from all of them meet in one place, the
-ids up to it are final and go out; memory stays at a few piece lengths for a
-text of any length. The start of a word is always such a place, since no piece
+ids up to it are final and go out; the search holds a few piece lengths of a
+text of any length (the ids of a text are gathered, as its row needs them). The start of a word is always such a place, since no piece
 holds a space behind other characters, which lets finished words be kept in a
 table and looked up.
 
@@ -38,10 +38,48 @@ LOOK = 64
 _CHUNK = re.compile(r"\n+| *[^ \n]+| +")
 
 
+#: Fixed values of the public file format: message ``trainer_spec``, its field ``model_type``, and that field's value for merges.
+TRAINER_SPEC, MODEL_TYPE, BPE = 2, 3, 2
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer's fields, those inside not taken apart."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            c = raw[at]
+            at += 1
+            n |= (c & 127) << shift
+            shift += 7
+            if c < 128:
+                return n
+
+    while at < len(raw):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if kind == 2 else 8 if kind == 1 else 4
+        yield key >> 3, raw[at : at + size]
+        at += size
+
+
+def model_type(proto: bytes) -> int:
+    """The kind of a model file; 1, the format's default, where it names none."""
+    spec = b"".join(v for k, v in _fields(proto) if k == TRAINER_SPEC)
+    return next((v for k, v in _fields(spec) if k == MODEL_TYPE), 1)
+
+
 class Pieces:
     """Vocabulary of a model file, with encoder and decoder."""
 
     def __init__(self, proto: bytes):
+        if model_type(proto) != BPE:
+            raise ValueError("the model is not one of merges, for which alone the search is exact")
         m = sentencepiece.SentencePieceProcessor(model_proto=proto)
         ids = range(m.get_piece_size())
         self.ids = {m.id_to_piece(i).replace(SPACE, " "): i for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
@@ -166,7 +204,8 @@ class Pieces:
         if not text:
             return out
         get = self.chunks.get
-        for c in _CHUNK.findall(" " + text):
+        for m in _CHUNK.finditer(" " + text):
+            c = m.group()
             got = get(c)
             if got is None:
                 if len(c) > KEPT_LENGTH:
