@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+import heapq
+import itertools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portloom.functions.arrow import mapped
 from portloom.model import endpoints
 from portloom.storage import checkpointed
 
@@ -40,21 +43,29 @@ def correlations(counts: DataFrame, prop: DataFrame, types: Sequence[str]) -> Da
     return row.select(F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("r")) for t in types])))
 
 
-def _pairs(key: tuple, pdf: pd.DataFrame, cutoff: float) -> pd.DataFrame:
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of unit vectors, row by row."""
+    return a @ b.T
+
+
+def _pairs(key: tuple, pdf: pd.DataFrame, cutoff: float, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
     a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     if key[0] == key[1]:
         b = a
     if not len(a) or not len(b):
         return pd.DataFrame({"i": [], "j": [], "weight": []})
-    sim = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+    sim = kernel(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()))
     i, j = np.nonzero(sim > cutoff)
     x, y, w = a["id"].to_numpy()[i], b["id"].to_numpy()[j], sim[i, j]
     keep = x < y if key[0] == key[1] else np.ones(len(x), bool)
     return pd.DataFrame({"i": np.minimum(x, y)[keep], "j": np.maximum(x, y)[keep], "weight": w[keep]})
 
 
-def similarity_edges(vectors: DataFrame, cutoff: float, rows: int | None = None) -> DataFrame:
-    """(i, j, weight) for pairs i < j with a cosine above ``cutoff``; vectors: (id, v).
+def similarity_edges(vectors: DataFrame, cutoff: float, rows: int | None = None, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosine) -> DataFrame:
+    """(i, j, weight) for pairs i < j with a similarity above ``cutoff``; vectors: (id, v).
+
+    ``kernel`` gives the similarities of two blocks of rows, which reach it with
+    length one; without it they are cosines. Vectors of length zero have no pairs.
 
     All pairs are asked for, so rows are dealt into blocks and every pair of
     blocks is one matrix product; only pairs above the cutoff leave a task.
@@ -66,7 +77,7 @@ def similarity_edges(vectors: DataFrame, cutoff: float, rows: int | None = None)
     unit = unit.select("id", F.transform("v", lambda x: x / F.when(F.col("norm") > 0, F.col("norm"))).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).filter(F.col("v")[0].isNotNull())
     every = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("block", k).alias("a"), F.greatest("block", k).alias("b"), F.when(F.col("block") <= k, 0).otherwise(1).alias("side")))
     dealt = unit.select("id", "v", F.inline(every))
-    return dealt.groupBy("a", "b").applyInPandas(lambda key, pdf: _pairs(key, pdf, cutoff), "i bigint, j bigint, weight double")
+    return dealt.groupBy("a", "b").applyInPandas(lambda key, pdf: _pairs(key, pdf, cutoff, kernel), "i bigint, j bigint, weight double")
 
 
 def edge_density(edges: DataFrame, n: int, cutoffs: Sequence[float]) -> DataFrame:
@@ -77,11 +88,15 @@ def edge_density(edges: DataFrame, n: int, cutoffs: Sequence[float]) -> DataFram
 
 
 def diversity(vectors: DataFrame) -> DataFrame:
-    """Mean of 1 - cosine over all pairs, from the sum of unit vectors: the pairs' cosines add up to (|sum|^2 - n) / 2."""
+    """Mean of 1 - cosine over all pairs, from the sum of unit vectors: the pairs' cosines add up to (|sum|^2 - n) / 2.
+
+    Vectors of length zero have no direction and are left out; null if fewer than two are left.
+    """
     v = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    parts = v.select(F.posexplode("v").alias("k", "x"), "norm").groupBy("k").agg(F.sum(F.col("x") / F.col("norm")).alias("s"), F.count(F.lit(1)).alias("n"))
+    parts = v.filter("norm > 0").select(F.posexplode("v").alias("k", "x"), "norm").groupBy("k").agg(F.sum(F.col("x") / F.col("norm")).alias("s"), F.count(F.lit(1)).alias("n"))
     t = parts.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n"))
-    return t.select((1 - (F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("diversity"))
+    pairs = F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))
+    return t.select((1 - (F.col("ss") - F.col("n")) / pairs).alias("diversity"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -93,15 +108,68 @@ def degree_centrality(ids: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return ids.join(d, ids["id"] == d["a"], "left").select("id", (F.coalesce("d", F.lit(0)) / F.lit(float(max(n - 1, 1)))).alias("centrality"))
 
 
-def modularity(edges: DataFrame, part: DataFrame) -> DataFrame:
-    """Modularity of a given partition (id, community)."""
+def modularity(edges: DataFrame, part: DataFrame, cutoffs: Sequence[float]) -> DataFrame:
+    """(cutoff, modularity) of a partition (id, community), over the edges above each cutoff; a cutoff without edges has no row."""
     p1, p2 = part.select(F.col("id").alias("i"), F.col("community").alias("ci")), part.select(F.col("id").alias("j"), F.col("community").alias("cj"))
-    e = edges.join(p1, "i").join(p2, "j")
-    ends = e.select(F.explode(F.array("ci", "cj")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("d"))
-    inside = e.filter("ci = cj").groupBy(F.col("ci").alias("c")).agg(F.count(F.lit(1)).alias("l"))
-    m = edges.count()
-    t = ends.join(inside, "c", "left").fillna(0, ["l"])
-    return t.agg(F.sum(F.col("l") / F.lit(float(m)) - F.pow(F.col("d") / F.lit(2.0 * m), F.lit(2))).alias("modularity"))
+    above = F.filter(F.array(*[F.lit(float(c)) for c in cutoffs]), lambda c: F.col("weight") > c)
+    e = edges.withColumn("cutoff", F.explode(above)).join(p1, "i").join(p2, "j")
+    # Communities of each cutoff are few against edges; ends and inner edges are counted in one pass.
+    ends = F.inline(F.array(F.struct(F.col("ci").alias("c"), F.when(F.col("ci") == F.col("cj"), 1).otherwise(0).alias("inner")), F.struct(F.col("cj").alias("c"), F.lit(0).alias("inner"))))
+    per = e.select("cutoff", ends).groupBy("cutoff", "c").agg(F.count(F.lit(1)).alias("d"), F.sum("inner").alias("l"))
+    sums = per.groupBy("cutoff").agg(F.sum("l").alias("l"), F.sum("d").alias("d2"), F.sum(F.pow(F.col("d").cast("double"), F.lit(2))).alias("dd"))
+    return sums.select("cutoff", (2 * F.col("l") / F.col("d2") - F.col("dd") / F.pow(F.col("d2").cast("double"), F.lit(2))).alias("modularity"))
+
+
+def _merged(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """Community of each node, named by its least member: the two communities whose union raises modularity most become one, until none raises it."""
+    near: dict[int, dict[int, int]] = {}
+    for i, j in pairs:
+        near.setdefault(i, {})[j] = 1
+        near.setdefault(j, {})[i] = 1
+    ends = 2 * len(pairs)
+    degree = {v: sum(x.values()) for v, x in near.items()}
+    member = {v: [v] for v in near}
+    gain = lambda a, b: near[a][b] * ends - degree[a] * degree[b]
+    heap = [(-gain(a, b), a, b) for a in near for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap and heap[0][0] < 0:
+        g, a, b = heapq.heappop(heap)
+        if a not in member or b not in member or b not in near[a] or -gain(a, b) != g:
+            continue
+        for c, n in near.pop(b).items():
+            del near[c][b]
+            if c != a:
+                near[a][c] = near[c][a] = near[a].get(c, 0) + n
+        degree[a] += degree.pop(b)
+        member[a] += member.pop(b)
+        for c in near[a]:
+            heapq.heappush(heap, (-gain(a, c), min(a, c), max(a, c)))
+    return {v: min(vs) for vs in member.values() for v in vs}
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(g, id, community) by greedy modularity, for edges (g, i, j); a graph is worked in one kernel. Ties go to the lesser nodes."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _merged(sorted({(min(i, j), max(i, j)) for i, j in zip(pdf["i"].tolist(), pdf["j"].tolist(), strict=True) if i != j}))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(found), "id": list(found), "community": list(found.values())})
+
+    return edges.groupBy("g").applyInPandas(kernel, "g string, id bigint, community bigint")
+
+
+def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that can be reached. Labels take their neighbours' least, then their label's label, until none changes."""
+    arcs = checkpointed(both_ways(edges).distinct())
+    label = checkpointed(ids.select("id", F.col("id").alias("component")))
+    while True:
+        near = arcs.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
+        step = label.join(near, "id", "left").select("id", "component", F.least("component", "least").alias("low"))
+        jump = label.select(F.col("id").alias("low"), F.col("component").alias("far"))
+        after = checkpointed(step.join(jump, "low").select("id", F.least("low", "far").alias("new"), "component"))
+        changed = after.filter("new <> component").limit(1).count()
+        label = after.select("id", F.col("new").alias("component"))
+        if not changed:
+            return label
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -117,13 +185,31 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def ego_networks(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes, edges and density of each node with its neighbours; with density the mean distance follows, 2 - density, as every two nodes are one or two steps apart."""
+    """Properties of each node with its neighbours as a graph of its own.
+
+    Every two of its nodes are one or two steps apart, so the mean distance is
+    2 - density, the diameter 1 if all are neighbours and else 2, the radius 1.
+    ``clustering`` is the node's own, ``average_clustering`` the mean over all
+    nodes of the small graph: a neighbour that shares t triangles and q
+    4-cliques with the centre has t + 1 neighbours there with t + q edges
+    between them. A node without neighbours has 0 everywhere.
+    """
+    tri = checkpointed(triangles(edges))
     deg = both_ways(edges).groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    tri = triangles(edges).select(F.explode(F.array("i", "j", "k")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("t"))
-    e = ids.join(deg.withColumnRenamed("a", "id"), "id", "left").join(tri.withColumnRenamed("a", "id"), "id", "left").fillna(0, ["d", "t"])
+
+    def on_arcs(cliques: DataFrame, corners: Sequence[str], name: str) -> DataFrame:
+        """(a, b, name): cliques on each pair of neighbours, both ways."""
+        ways = F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in corners for y in corners if x != y]))
+        return cliques.select(ways).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+
+    four = tri.join(tri.withColumnRenamed("k", "l"), ["i", "j"]).filter("k < l").join(edges.select(F.col("i").alias("k"), F.col("j").alias("l")), ["k", "l"])
+    pairs = on_arcs(tri, "ijk", "t").join(on_arcs(four, "ijkl", "q"), ["a", "b"], "left").fillna(0, ["q"])
+    near = pairs.groupBy(F.col("a").alias("id")).agg((F.sum("t") / 2).cast("bigint").alias("t"), F.sum(2 * (F.col("t") + F.col("q")) / ((F.col("t") + 1) * F.col("t"))).alias("c"))
+    e = ids.join(deg.withColumnRenamed("a", "id"), "id", "left").join(near, "id", "left").fillna(0, ["d", "t", "c"])
     size, links = F.col("d") + 1, F.col("d") + F.col("t")
     density = F.when(F.col("d") > 0, 2 * links / (size * F.col("d"))).otherwise(F.lit(0.0))
-    return e.select("id", size.alias("n_nodes"), links.alias("n_edges"), density.alias("density"), F.when(F.col("d") > 0, 2 - density).otherwise(F.lit(0.0)).alias("mean_distance"), F.when(F.col("d") > 1, 2 * F.col("t") / (F.col("d") * (F.col("d") - 1))).otherwise(F.lit(0.0)).alias("clustering"))
+    own = F.when(F.col("d") > 1, 2 * F.col("t") / (F.col("d") * (F.col("d") - 1))).otherwise(F.lit(0.0))
+    return e.select("id", size.alias("n_nodes"), links.alias("n_edges"), density.alias("density"), F.when(F.col("d") > 0, 2 - density).otherwise(F.lit(0.0)).alias("mean_distance"), own.alias("clustering"), ((own + F.col("c")) / size).alias("average_clustering"), F.when(F.col("d") == 0, 0).when(density >= 1, 1).otherwise(2).alias("diameter"), F.when(F.col("d") == 0, 0).otherwise(1).alias("radius"))
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
@@ -203,8 +289,20 @@ def wl_features(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     return every.groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """Betweenness of each node of each graph: edges (g, i, j), Brandes' sums, one kernel per graph."""
+def wl_kernel(nodes: DataFrame, edges: DataFrame, rounds: int, cutoff: float = 0.0) -> DataFrame:
+    """(i, j, weight), i < j: cosine of two graphs' counts of refined labels, above ``cutoff``. Graphs that share no label have no row; all others are pairs."""
+    f = checkpointed(wl_features(nodes, edges, rounds))
+    norm = f.groupBy("graph_id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
+    f = checkpointed(f.join(norm, "graph_id").select("graph_id", "label", (F.col("n") / F.col("norm")).alias("x")))
+    pairs = f.select(F.col("graph_id").alias("i"), "label", F.col("x").alias("xi")).join(f.select(F.col("graph_id").alias("j"), "label", F.col("x").alias("xj")), "label").filter("i < j")
+    return pairs.groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("weight")).filter(F.col("weight") > cutoff)
+
+
+def betweenness(edges: DataFrame, blocks: int = 1) -> DataFrame:
+    """Betweenness of each node of each graph: edges (g, i, j), Brandes' sums.
+
+    ``blocks`` kernels share a graph's sources and each holds all its edges; sums of the parts are the whole.
+    """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
@@ -212,7 +310,8 @@ def betweenness(edges: DataFrame) -> DataFrame:
             near.setdefault(i, []).append(j)
             near.setdefault(j, []).append(i)
         score = dict.fromkeys(near, 0.0)
-        for s in near:
+        mine = pdf["block"].iloc[0]
+        for s in (v for v in near if v % blocks == mine):
             order, before, paths, dist = [s], {s: []}, {s: 1.0}, {s: 0}
             for x in order:
                 for y in near[x]:
@@ -230,7 +329,9 @@ def betweenness(edges: DataFrame) -> DataFrame:
                     score[y] += share[y] / 2
         return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(score), "id": list(score), "betweenness": list(score.values())})
 
-    return edges.groupBy("g").applyInPandas(kernel, "g string, id bigint, betweenness double")
+    dealt = edges.select("g", "i", "j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    parts = dealt.groupBy("g", "block").applyInPandas(kernel, "g string, id bigint, betweenness double")
+    return parts if blocks == 1 else parts.groupBy("g", "id").agg(F.sum("betweenness").alias("betweenness"))
 
 
 def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -249,15 +350,27 @@ def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-6) -> DataFra
     return x.withColumnRenamed("x", "centrality")
 
 
-def radius_edges(points: DataFrame, distance: float, tolerance: float) -> DataFrame:
-    """(i, j), i < j, for points (id, x, y) whose distance is ``distance`` within ``tolerance``: cells of that size meet their neighbours only."""
-    size = distance + tolerance
-    cell = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    a = cell.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), "cx", "cy", F.inline(around)).select("i", "x1", "y1", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    pairs = a.join(cell.select(F.col("id").alias("j"), "x", "y", "cx", "cy"), ["cx", "cy"]).filter("i < j")
-    d = F.sqrt(F.pow(F.col("x1") - F.col("x"), F.lit(2)) + F.pow(F.col("y1") - F.col("y"), F.lit(2)))
-    return pairs.filter(F.abs(d - distance) <= tolerance).select("i", "j")
+def radius_edges(points: DataFrame, distance: float, tolerance: float, relative: float = 0.0) -> DataFrame:
+    """(i, j), i < j, for points (id, x, y) or (id, x, y, z) whose distance is ``distance`` within ``tolerance`` + ``relative`` * ``distance``: cells of that size meet their neighbours only."""
+    axes = [c for c in ("x", "y", "z") if c in points.columns]
+    most = tolerance + relative * abs(distance)
+    cell = points.select("id", *axes, *[F.floor(F.col(c) / (distance + most)).alias(f"c{c}") for c in axes])
+    steps = F.array(*[F.struct(*[F.lit(s).alias(f"d{c}") for c, s in zip(axes, step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=len(axes))])
+    near = cell.withColumn("s", F.explode(steps))
+    a = near.select(F.col("id").alias("i"), *[F.col(c).alias(f"{c}1") for c in axes], *[(F.col(f"c{c}") + F.col(f"s.d{c}")).alias(f"c{c}") for c in axes])
+    pairs = a.join(cell.withColumnRenamed("id", "j"), [f"c{c}" for c in axes]).filter("i < j")
+    square = functools.reduce(lambda p, q: p + q, [F.pow(F.col(f"{c}1") - F.col(c), F.lit(2)) for c in axes])
+    return pairs.filter(F.abs(F.sqrt(square) - distance) <= most).select("i", "j")
+
+
+def signed_permutations(rows: DataFrame) -> DataFrame:
+    """(id, x, y, z): the different points whose coordinates are three of ``values`` in any order and with any signs; rows (id, values) with three values at least."""
+
+    def kernel(values: list[float]) -> list[tuple]:
+        signed = [[v * s for v, s in zip(values, signs, strict=True)] for signs in itertools.product((1, -1), repeat=len(values))]
+        return sorted({tuple(v + 0.0 for v in p) for own in signed for p in itertools.permutations(own, 3)})
+
+    return mapped(rows, ["id"], ["values"], kernel, "x double, y double, z double")
 
 
 def projected(vectors: DataFrame, k: int = 2) -> DataFrame:

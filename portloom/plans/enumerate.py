@@ -1,9 +1,9 @@
 """Enumeration of port graphs: all of them, or a seeded random sample.
 
 A plan is a lazy DataFrame: skeletons, colourings, constraints, port choices,
-canonical keys, distinct. The skeletons of n nodes come from the driver (they
-depend on n alone and are few for the n that can be enumerated); everything that
-grows with the alphabet runs on executors and is folded by one shuffle on the key.
+canonical keys, distinct. Skeletons of up to five nodes come from the driver,
+larger ones from rounds on executors; everything that grows with the alphabet
+runs on executors and is folded by one shuffle on the key.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portloom.functions.arrow import mapped
 from portloom.functions.molecules import Molecule, parse, write
-from portloom.functions.symmetry import colorings, connected_skeletons
+from portloom.functions.symmetry import colorings, connected_skeletons, topology_key
+from portloom.storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -91,23 +93,44 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["canonical_key", "smiles", "types", "edges"])
 
 
+#: Nodes up to which skeletons are searched on the driver; those of five nodes are 21.
+DRIVER_NODES = 5
+
+
 def skeletons(spark: SparkSession, n: int) -> DataFrame:
-    """(skeleton, n, edges): connected graphs on n nodes up to isomorphism."""
-    rows = [(i, n, [list(e) for e in s]) for i, s in enumerate(connected_skeletons(n))]
-    return spark.createDataFrame(rows, "skeleton int, n int, edges array<array<int>>")
+    """(skeleton, n, edges): connected graphs on n nodes up to isomorphism.
+
+    Beyond DRIVER_NODES each round adds a node with every non-empty set of
+    neighbours to the graphs of the round before, on executors, and one graph of
+    each key stays.
+    """
+    rows = [(i, min(n, DRIVER_NODES), [list(e) for e in s]) for i, s in enumerate(connected_skeletons(min(n, DRIVER_NODES)))]
+    found = spark.createDataFrame(rows, "skeleton int, n int, edges array<array<int>>")
+    for v in range(DRIVER_NODES, n):
+        around = F.filter(F.sequence(F.lit(0), F.lit(v - 1)), lambda u: F.col("mask").bitwiseAND(F.element_at(F.array(*[F.lit(1 << u) for u in range(v)]), u + 1)) != 0)
+        grown = found.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit((1 << v) - 1)))).select(F.concat("edges", F.transform(around, lambda u: F.array(u, F.lit(v)))).alias("edges"))
+        keyed = mapped(grown.repartition(spark.sparkContext.defaultParallelism), ["edges"], ["edges"], lambda edges, m=v + 1: [(topology_key(m, [(a, b, "") for a, b in edges]),)], "key string")
+        level = keyed.groupBy("key").agg(F.min("edges").alias("edges"))
+        found = checkpointed(level.select(F.monotonically_increasing_id().alias("skeleton"), F.lit(v + 1).alias("n"), "edges"))
+    return found.select(F.col("skeleton").cast("bigint").alias("skeleton"), "n", "edges")
 
 
 def colored(skeleton: DataFrame, k: int) -> DataFrame:
-    """(skeleton, n, edges, colors): each skeleton's colourings with k colours up to its symmetries."""
+    """(skeleton, n, edges, colors): each skeleton's colourings with k colours up to its symmetries.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                cs = colorings(r["n"], [tuple(e) for e in r["edges"]], k)
-                m = len(cs)
-                yield pa.RecordBatch.from_arrays([pa.array([r["skeleton"]] * m, pa.int32()), pa.array([r["n"]] * m, pa.int32()), pa.array([r["edges"]] * m, pa.list_(pa.list_(pa.int32()))), pa.array([list(c) for c in cs], pa.list_(pa.int32()))], ["skeleton", "n", "edges", "colors"])
+    The colours of the first two nodes are dealt to tasks, so the colourings of
+    one skeleton are searched by k² of them, and leave each in small batches.
+    """
+    every = F.array(*[F.lit(c) for c in range(k)])
+    starts = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(2))), F.array(F.array().cast("array<int>")), lambda acc, _: F.flatten(F.transform(acc, lambda s: F.transform(every, lambda c: F.concat(s, F.array(c))))))
+    dealt = skeleton.withColumn("start", F.explode(starts))
+    if k > 1:
+        dealt = dealt.repartition(skeleton.sparkSession.sparkContext.defaultParallelism)
+
+    def kernel(n, edges, start):
+        return ((list(c),) for c in colorings(n, [tuple(e) for e in edges], k, start))
 
-    return skeleton.mapInArrow(run, "skeleton int, n int, edges array<array<int>>, colors array<int>")
+    return mapped(dealt, ["skeleton", "n", "edges"], ["n", "edges", "start"], kernel, "colors array<int>")
 
 
 def exhaustive(spark: SparkSession, n: int, groups: Sequence[Group], at_least: Mapping[str, int] | None = None) -> DataFrame:

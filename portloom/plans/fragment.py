@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portloom.functions import smarts
-from portloom.functions.molecules import FragmentationError, Molecule, parse, search
+from portloom.functions.arrow import mapped
+from portloom.functions.molecules import FragmentationError, Molecule, ParseError, hubs_of, parse, search
 from portloom.plans.enumerate import Group
 
 
@@ -78,11 +80,11 @@ def variants(group: Group) -> list[Group]:
 
 
 def variants_of(groups: DataFrame) -> DataFrame:
-    """(type, hubs): all subsets of each group's ports, as a bitmask explode."""
-    n = F.size("hubs")
-    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), 10) - 1)
-    subset = F.filter("hubs", lambda h, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == 1)
-    return groups.withColumn("mask", F.explode(masks)).filter(F.col("mask") < F.pow(F.lit(2), n)).select("type", F.array_sort(subset).alias("hubs")).distinct()
+    """(type, hubs): all subsets of each group's ports, each once; ports on one atom are alike, so of each atom's ports a number is taken."""
+    atoms = F.transform(F.array_sort(F.array_distinct("hubs")), lambda h: F.struct(h.alias("h"), F.size(F.filter("hubs", lambda x: x == h)).alias("n")))
+    more = lambda acc, a: F.flatten(F.transform(acc, lambda s: F.transform(F.sequence(F.lit(0), a["n"]), lambda k: F.concat(s, F.array_repeat(a["h"], k)))))
+    every = F.aggregate(atoms, F.array(F.array().cast("array<int>")), more)
+    return groups.select("type", F.explode(every).alias("hubs")).distinct()
 
 
 def exact_covers(m: Molecule, groups: Sequence[Group]) -> list[list[tuple[str, tuple[int, ...], tuple[int, ...]]]]:
@@ -166,6 +168,114 @@ def fragment_states(m: Molecule, queries: Sequence[str], sorter: str = "list", m
     return sorted(states, key=lambda s: (len(s), s))
 
 
+class Piece(NamedTuple):
+    """A group to lay over molecules. ``kind``: the notation of its pattern, ``SMARTS`` or ``SMILES``."""
+
+    type: str
+    pattern: str
+    hubs: tuple[int, ...]
+    kind: str = "SMARTS"
+
+
+def pieces_of(patterns: Sequence[str]) -> list[Piece]:
+    """Groups named ``type 0``, ``type 1`` .. from patterns, with hubs inferred from their letters; what is no atom pattern is read as a molecule."""
+    out = []
+    for i, p in enumerate(patterns):
+        try:
+            smarts.parse(p)
+            kind = "SMARTS"
+        except ParseError:
+            parse(p)
+            kind = "SMILES"
+        out.append(Piece(f"type {i}", p, tuple(hubs_of(p)), kind))
+    return out
+
+
+def ported(pieces: Sequence[Piece], state: Sequence[tuple[int, tuple[int, ...]]], links: Sequence[tuple[int, int, int, int, float]]) -> tuple[list[tuple[int, int, int, int, float]], int]:
+    """Edges (group, port, group, port, order) of a laid out molecule, and how many bonds found no port.
+
+    In the order of the bonds, each end takes the first free port that hangs on its atom.
+    """
+    used: set[tuple[int, int]] = set()
+
+    def free(g: int, atom: int) -> int | None:
+        return next((p for p, h in enumerate(pieces[state[g][0]].hubs) if h == atom and (g, p) not in used), None)
+
+    out, lost = [], 0
+    for a, i, b, j, o in links:
+        p, q = free(a, i), free(b, j)
+        if p is None or q is None:
+            lost += 1
+            continue
+        used |= {(a, p), (b, q)}
+        out.append((a, p, b, q, o))
+    return out, lost
+
+
+_PORT_GRAPH = "result int, nodes array<struct<type:string,pattern:string,hubs:array<int>>>, edges array<struct<src:int,src_port:int,dst:int,dst_port:int,bond_order:double>>, n_left int"
+
+
+def _port_graph(own: Sequence[tuple[str, str, Sequence[int]]], edges: Sequence[tuple[int, int, int, int, float]]) -> tuple[list[dict], list[dict]]:
+    names = ("src", "src_port", "dst", "dst_port", "bond_order")
+    return [{"type": t, "pattern": p, "hubs": list(h)} for t, p, h in own], [dict(zip(names, e, strict=True)) for e in edges]
+
+
+def port_graphs(molecules: DataFrame, pieces: Sequence[Piece], incomplete: str = "remove", sorter: str = "list", mode: str = "ideal", match_hubs: bool = False, keep: Sequence[str] = ("smiles",)) -> DataFrame:
+    """``keep``, result, nodes, edges, n_left: the port graphs that a molecule falls into when the groups are laid over it in turn.
+
+    ``incomplete`` says what happens to results that leave atoms or bonds without
+    a port: ``remove``, ``keep`` or ``raise error``. ``match_hubs`` asks that an
+    atom's hydrogens fit the group's ports. Null, empty and unreadable texts give
+    no rows.
+    """
+    if incomplete not in ("remove", "keep", "raise error"):
+        raise ValueError(f"unknown handling {incomplete!r}")
+    if any(p.kind not in ("SMARTS", "SMILES") for p in pieces):
+        raise ValueError("a group's pattern must be SMARTS or SMILES")
+    queries = [smarts.with_ports(p.pattern, p.hubs) if match_hubs and p.kind == "SMARTS" else p.pattern for p in pieces]
+
+    def kernel(s: str | None):
+        try:
+            m = parse(s or "")
+        except ParseError:
+            return
+        k = 0
+        for state in fragment_states(m, queries, sorter, mode) if m.elements else ():
+            left = len(m.elements) - sum(len(atoms) for _, atoms in state)
+            edges, lost = ported(pieces, state, connections(m, state))
+            if (left or lost) and incomplete == "raise error":
+                raise FragmentationError(f"{left} atoms and {lost} bonds of {s!r} are left")
+            if incomplete == "keep" or not (left or lost):
+                yield (k, *_port_graph([pieces[i][:3] for i, _ in state], edges), left)
+                k += 1
+
+    return mapped(molecules, keep, ["smiles"], kernel, _PORT_GRAPH)
+
+
+def cover_graphs(molecules: DataFrame, groups: Sequence[Group], keep: Sequence[str] = ("smiles",)) -> DataFrame:
+    """``keep``, result, nodes, edges, n_left: exact covers as port graphs, two groups joined by one edge at most, as each port stands for one bond.
+
+    Each group has the ports that its cover uses. Molecules without a cover and
+    unreadable texts give no rows.
+    """
+    def kernel(s: str | None):
+        try:
+            m = parse(s or "")
+        except ParseError:
+            return
+        for k, cover in enumerate(exact_covers(m, groups) if m.elements else ()):
+            own = [Piece(t, next(g.pattern for g in groups if g.type == t), hubs, "SMILES") for t, hubs, _ in cover]
+            state = [(i, atoms) for i, (_, _, atoms) in enumerate(cover)]
+            links, seen = [], set()
+            for x in connections(m, state):
+                if (x[0], x[2]) not in seen:
+                    seen.add((x[0], x[2]))
+                    links.append(x)
+            yield (k, *_port_graph([p[:3] for p in own], ported(own, state, links)[0]), 0)
+
+    return mapped(molecules, keep, ["smiles"], kernel, _PORT_GRAPH)
+
+
 def connections(m: Molecule, state: Sequence[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, float]]:
     """Bonds between the groups of a state: (group, place in it, group, place in it, order)."""
     at = {a: (g, k) for g, (_, atoms) in enumerate(state) for k, a in enumerate(atoms)}

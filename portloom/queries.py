@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portloom.functions import molecules as mol
-from portloom.functions import symmetry
-from portloom.model import chain_edges, endpoints, event_nodes, order_nodes, table
-from portloom.operators import checks, match, space
+from portloom.model import EVENT_PORTS, chain_edges, endpoints, event_nodes, order_nodes, table
+from portloom.operators import checks, chem, drawing, match, space
 from portloom.plans import enumerate as gen
 from portloom.plans import fragment
 from portloom.sources import export, libraries, text
@@ -263,21 +261,25 @@ def degree_centrality(spark, sf_dir):
     return space.degree_centrality(v.select("id"), _network(spark, sf_dir), v.count()).select("id", F.round("centrality", 9).alias("centrality"))
 
 
-@query(f"""WITH {_NET}, e AS (SELECT p.community AS ci, q.community AS cj FROM net JOIN u p ON p.id = i JOIN u q ON q.id = j), m AS (SELECT count(*)::DOUBLE AS m FROM e),
-d AS (SELECT c, count(*) AS d FROM (SELECT ci AS c FROM e UNION ALL SELECT cj FROM e) GROUP BY c), l AS (SELECT ci AS c, count(*) AS l FROM e WHERE ci = cj GROUP BY ci)
-SELECT round(sum(coalesce(l, 0) / m - (d / (2 * m)) ** 2), 6) AS modularity FROM d LEFT JOIN l USING (c), m""")
+@query(f"""WITH {_NET}, c AS (SELECT unnest({list(CUTOFFS)}::DOUBLE[]) AS cutoff), e AS (SELECT cutoff, p.community AS ci, q.community AS cj FROM c JOIN net ON weight > cutoff JOIN u p ON p.id = i JOIN u q ON q.id = j), m AS (SELECT cutoff, count(*)::DOUBLE AS m FROM e GROUP BY 1),
+d AS (SELECT cutoff, c, count(*) AS d FROM (SELECT cutoff, ci AS c FROM e UNION ALL SELECT cutoff, cj FROM e) GROUP BY ALL), l AS (SELECT cutoff, ci AS c, count(*) AS l FROM e WHERE ci = cj GROUP BY ALL)
+SELECT cutoff, round(sum(coalesce(l, 0) / m - (d / (2 * m)) ** 2), 6) AS modularity FROM d LEFT JOIN l USING (cutoff, c) JOIN m USING (cutoff) GROUP BY cutoff""")
 def modularity_label(spark, sf_dir):
-    return space.modularity(_network(spark, sf_dir), _vectors(spark, sf_dir).select("id", "community")).select(F.round("modularity", 6).alias("modularity"))
+    return space.modularity(_network(spark, sf_dir), _vectors(spark, sf_dir).select("id", "community"), CUTOFFS).select("cutoff", F.round("modularity", 6).alias("modularity"))
 
 
 @query(f"""WITH {_NET}, d AS (SELECT a, count(*) AS d FROM arcs GROUP BY a), t AS (SELECT x.a, count(*) / 2 AS t FROM arcs x JOIN arcs y ON x.b = y.a JOIN arcs z ON y.b = z.a AND z.b = x.a GROUP BY x.a),
-f AS (SELECT id, coalesce(d, 0)::DOUBLE AS d, coalesce(t, 0)::DOUBLE AS t FROM u LEFT JOIN d ON d.a = id LEFT JOIN t ON t.a = id)
+tr AS (SELECT x.i, x.j, y.j AS k FROM net x JOIN net y ON y.i = x.j JOIN net z ON z.i = x.i AND z.j = y.j), t2 AS (SELECT a, b, count(*) AS t FROM (SELECT unnest([i, i, j, j, k, k]) AS a, unnest([j, k, i, k, i, j]) AS b FROM tr) GROUP BY ALL),
+q4 AS (SELECT x.i, x.j, x.k, y.k AS l FROM tr x JOIN tr y ON x.i = y.i AND x.j = y.j AND x.k < y.k JOIN net z ON z.i = x.k AND z.j = y.k), q2 AS (SELECT a, b, count(*) AS q FROM (SELECT unnest([i, i, i, j, j, j, k, k, k, l, l, l]) AS a, unnest([j, k, l, i, k, l, i, j, l, i, j, k]) AS b FROM q4) GROUP BY ALL),
+c2 AS (SELECT t2.a, sum(2.0 * (t + coalesce(q, 0)) / ((t + 1) * t)) AS c FROM t2 LEFT JOIN q2 USING (a, b) GROUP BY t2.a),
+f AS (SELECT id, coalesce(d, 0)::DOUBLE AS d, coalesce(t, 0)::DOUBLE AS t, coalesce(c, 0)::DOUBLE AS c FROM u LEFT JOIN d ON d.a = id LEFT JOIN t ON t.a = id LEFT JOIN c2 ON c2.a = id)
 SELECT id, (d + 1)::BIGINT AS n_nodes, (d + t)::BIGINT AS n_edges, round(CASE WHEN d > 0 THEN 2 * (d + t) / ((d + 1) * d) ELSE 0 END, 9) AS density,
-round(CASE WHEN d > 0 THEN 2 - 2 * (d + t) / ((d + 1) * d) ELSE 0 END, 9) AS mean_distance, round(CASE WHEN d > 1 THEN 2 * t / (d * (d - 1)) ELSE 0 END, 9) AS clustering FROM f""")
+round(CASE WHEN d > 0 THEN 2 - 2 * (d + t) / ((d + 1) * d) ELSE 0 END, 9) AS mean_distance, round(CASE WHEN d > 1 THEN 2 * t / (d * (d - 1)) ELSE 0 END, 9) AS clustering,
+round((CASE WHEN d > 1 THEN 2 * t / (d * (d - 1)) ELSE 0 END + c) / (d + 1), 9) AS average_clustering, CASE WHEN d = 0 THEN 0 WHEN d + t >= (d + 1) * d / 2 THEN 1 ELSE 2 END AS diameter, CASE WHEN d = 0 THEN 0 ELSE 1 END AS radius FROM f""")
 def ego_density(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     e = space.ego_networks(v.select("id"), _network(spark, sf_dir))
-    return e.select("id", "n_nodes", "n_edges", *[F.round(c, 9).alias(c) for c in ("density", "mean_distance", "clustering")])
+    return e.select("id", "n_nodes", "n_edges", *[F.round(c, 9).alias(c) for c in ("density", "mean_distance", "clustering", "average_clustering")], "diameter", "radius")
 
 
 _HOPS = 8
@@ -339,6 +341,25 @@ def radius_edges(spark, sf_dir):
 
 # --- symmetry and enumeration
 
+#: A chain of atoms for each order: returned lines are oxygen, accepted ones nitrogen, others carbon.
+_MOLS = "mols AS (SELECT l_orderkey AS mol_id, string_agg(e, '' ORDER BY l_linenumber, e) AS smiles FROM (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'N' WHEN 'N' THEN 'C' ELSE 'O' END AS e FROM lineitem) GROUP BY 1)"
+
+
+def _molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.when(F.col("l_returnflag") == "A", "N").when(F.col("l_returnflag") == "N", "C").otherwise("O")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("mol_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", e.alias("e")))).alias("es"))
+    return rows.select("mol_id", F.array_join(F.transform("es", lambda x: x["e"]), "").alias("smiles"))
+
+
+def _links(n: Column) -> Column:
+    return F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.array(i, i + 1))).otherwise(F.array().cast("array<array<int>>"))
+
+
+def _chain_graphs(molecules: DataFrame) -> DataFrame:
+    n = F.length("smiles")
+    return molecules.select("mol_id", "smiles", n.alias("n"), F.slice(F.split("smiles", ""), F.lit(1), n).alias("labels"), _links(n).alias("edges"))
+
+
 
 @query("""WITH RECURSIVE m AS (SELECT unnest(range(64)) AS g), p AS (SELECT * FROM (VALUES (0,0,1),(1,0,2),(2,0,3),(3,1,2),(4,1,3),(5,2,3)) t(b, u, v)),
 e AS (SELECT g, u, v FROM m JOIN p ON (g >> b) & 1 = 1), r AS (SELECT DISTINCT g, 0 AS x FROM m UNION SELECT r.g, CASE WHEN e.u = r.x THEN e.v ELSE e.u END FROM r JOIN e ON e.g = r.g AND (e.u = r.x OR e.v = r.x)),
@@ -365,13 +386,8 @@ def _symmetry(spark: SparkSession) -> DataFrame:
     ring = lambda n: [[i, (i + 1) % n] for i in range(n)]
     cases = [("c4", 4, ring(4)), ("c6", 6, ring(6)), ("p3", 3, [[0, 1], [1, 2]]), ("k3", 3, ring(3))]
 
-    def run(batches):
-        for b in batches:
-            rows = [(r["name"], list(t), f.numerator, f.denominator) for r in b.to_pylist() for t, f in symmetry.cycle_index([""] * r["n"], [(u, v, "") for u, v in r["edges"]]).items()]
-            kinds = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["name", "cycles", "num", "den"])
-
-    return spark.createDataFrame(cases, "name string, n int, edges array<array<int>>").mapInArrow(run, "name string, cycles array<int>, num bigint, den bigint")
+    g = spark.createDataFrame(cases, "name string, n int, edges array<array<int>>").withColumn("labels", F.array_repeat(F.lit(""), F.col("n")))
+    return chem.cycle_indices(g, ["name"])
 
 
 @query("""SELECT name, cycles, share::DOUBLE AS share FROM (VALUES ('c4', '1,1,1,1', 0.125), ('c4', '1,1,2', 0.25), ('c4', '2,2', 0.375), ('c4', '4', 0.25), ('p3', '1,1,1', 0.5), ('p3', '1,2', 0.5), ('k3', '1,1,1', 0.166666667), ('k3', '1,2', 0.5), ('k3', '3', 0.333333333)) t(name, cycles, share)""")
@@ -388,20 +404,28 @@ def polya_c6(spark, sf_dir):
     return _symmetry(spark).filter("name = 'c6'").agg(F.round(F.sum(F.col("num") / F.col("den") * F.pow(F.lit(2), F.size("cycles")))).cast("bigint").alias("n_colorings"))
 
 
-@query("""WITH c AS (SELECT a.i AS x, b.i AS y, d.i AS z FROM range(2) a(i), range(2) b(i), range(2) d(i)), k AS (SELECT DISTINCT least(x * 4 + y * 2 + z, z * 4 + y * 2 + x) AS h FROM c)
-SELECT (bit_count(h::BIGINT))::INT AS n_second, count(*) AS n_colorings FROM k GROUP BY 1""")
-def inventory_p3(spark, sf_dir):
-    index = symmetry.cycle_index([""] * 3, [(0, 1, ""), (1, 2, "")])
-    rows = [(use[1], n) for use, n in symmetry.pattern_inventory(index, ["a", "b"]).items()]
-    return spark.createDataFrame(rows, "n_second int, n_colorings bigint")
+@query(f"""WITH {_MOLS}, n AS (SELECT DISTINCT length(smiles) AS n FROM mols), c AS (SELECT n, lpad(bin(unnest(range(1 << n))), n::INT, '0') AS s FROM n)
+SELECT n::INT AS n, length(replace(k, '0', ''))::INT AS n_second, count(*)::BIGINT AS n_colorings FROM (SELECT DISTINCT n, least(s, reverse(s)) AS k FROM c) GROUP BY ALL""")
+def chain_inventories(spark, sf_dir):
+    """Chains of each length that occurs, coloured with two colours up to reversal, by how often the second is used."""
+    n = _chain_graphs(_molecules(spark, sf_dir)).select("n").distinct()
+    bare = n.select("n", F.array_repeat(F.lit(""), F.col("n")).alias("labels"), _links(F.col("n")).alias("edges"))
+    return chem.inventories(bare.withColumnRenamed("n", "length"), ["length"], ["a", "b"]).select(F.col("length").alias("n"), F.col("used")[1].alias("n_second"), F.col("n").alias("n_colorings"))
 
 
-@query("SELECT * FROM (VALUES (1, 'nodes', '0,0,0,0'), (1, 'edges', '0,0,0,0'), (2, 'nodes', '0,0,2,3'), (2, 'edges', '0,1,0,1')) t(case_id, kind, orbits)")
+@query(f"""WITH {_MOLS}, r AS (SELECT mol_id, smiles, length(smiles)::INT AS n, smiles = reverse(smiles) AS pal FROM mols)
+SELECT mol_id, array_to_string(list_transform(range(n), lambda i: CASE WHEN pal THEN least(i, n - 1 - i) ELSE i END), ',') AS nodes, array_to_string(list_transform(range(n - 1), lambda i: CASE WHEN pal THEN least(i, n - 2 - i) ELSE i END), ',') AS edges,
+CASE WHEN pal AND n > 1 THEN 2 ELSE 1 END::BIGINT AS n_automorphisms FROM r""")
 def orbits(spark, sf_dir):
-    """The SQL holds the expected answers."""
-    edges = [(0, 2, ""), (0, 3, ""), (1, 2, ""), (1, 3, "")]
-    rows = [(k, kind, ",".join(map(str, o))) for k, c in ((1, [0, 0, 0, 0]), (2, [0, 0, 0, 1])) for kind, o in zip(("nodes", "edges"), symmetry.orbits(c, edges), strict=True)]
-    return spark.createDataFrame(rows, "case_id int, kind string, orbits string")
+    g = chem.symmetries(_chain_graphs(_molecules(spark, sf_dir)), ["mol_id"])
+    return g.select("mol_id", F.array_join("node_orbits", ",").alias("nodes"), F.array_join("edge_orbits", ",").alias("edges"), "n_automorphisms")
+
+
+@query(f"""WITH {_MOLS} SELECT mol_id, array_to_string(list_transform(range(length(smiles)), lambda i: CASE WHEN smiles = reverse(smiles) THEN least(i, length(smiles) - 1 - i) ELSE i END), ',') AS orbits FROM mols""")
+def hub_orbits(spark, sf_dir):
+    """Of a port on each atom of a chain."""
+    g = _chain_graphs(_molecules(spark, sf_dir)).select("mol_id", F.col("smiles").alias("pattern"), F.sequence(F.lit(0), F.col("n") - 1).alias("hubs"))
+    return chem.hub_orbits(g, ["mol_id"]).select("mol_id", F.array_join("orbits", ",").alias("orbits"))
 
 
 #: Alphabets whose numbers of molecules are known.
@@ -424,19 +448,19 @@ def random_generate_seeded(spark, sf_dir):
     return gen.random_sample(spark, 3, GEN4, count=40, seed=5)
 
 
-@query("SELECT type, degree, n_sets::BIGINT AS n_sets FROM (VALUES ('methyl', 1, 1), ('methyl', 2, 1), ('methyl', 3, 1), ('ester', 1, 2), ('ester', 2, 1), ('alkene', 1, 1), ('alkene', 2, 2), ('alkene', 3, 1), ('alkene', 4, 1)) t(type, degree, n_sets)")
+@query(f"""WITH {_MOLS}, r AS (SELECT mol_id, CASE WHEN length(smiles) = 1 OR smiles = reverse(smiles) THEN 1 ELSE 2 END AS one FROM mols)
+SELECT mol_id, unnest([1, 2])::INT AS degree, unnest([one, 1])::BIGINT AS n_sets FROM r""")
 def possible_attachments(spark, sf_dir):
-    """The SQL holds the expected counts."""
-    groups = [gen.Group("methyl", "C", (0, 0, 0)), gen.Group("ester", "C(=O)O", (0, 2)), gen.Group("alkene", "C=C", (0, 0, 1, 1))]
-    rows = [(g.type, d, len(gen.attachments(g, d))) for g in groups for d in range(1, len(g.hubs) + 1)]
-    return spark.createDataFrame(rows, "type string, degree int, n_sets bigint")
+    """Ways to attach to a chain with a port on its first and one on its last atom, by number of ports used."""
+    g = _molecules(spark, sf_dir).select("mol_id", F.lit("chain").alias("type"), F.col("smiles").alias("pattern"), F.array(F.lit(0), F.length("smiles") - 1).alias("hubs"))
+    return chem.attachment_sets(g, ["mol_id"]).groupBy("mol_id", "degree").agg(F.count(F.lit(1)).alias("n_sets"))
 
 
-@query("SELECT * FROM (VALUES ('0,1,2,3'), ('1,0,3,2'), ('2,3,0,1'), ('3,2,1,0'), ('0,2,1,3'), ('1,3,0,2'), ('2,0,3,1'), ('3,1,2,0')) t(image)")
+@query(f"""WITH {_MOLS}, r AS (SELECT mol_id, smiles, length(smiles)::INT - 1 AS m FROM mols)
+SELECT mol_id, array_to_string(range(m), ',') AS image FROM r UNION ALL SELECT mol_id, array_to_string(list_transform(range(m), lambda i: m - 1 - i), ',') FROM r WHERE m > 1 AND smiles = reverse(smiles)""")
 def edge_automorphisms(spark, sf_dir):
-    """Of a ring of four given as (0,2) (0,3) (1,2) (1,3); the SQL holds the expected answers."""
-    edges = [(0, 2, ""), (0, 3, ""), (1, 2, ""), (1, 3, "")]
-    return spark.createDataFrame([(",".join(map(str, p)),) for p in symmetry.edge_permutations([""] * 4, edges)], "image string")
+    """Of each chain, what its symmetries do to its bonds."""
+    return chem.edge_images(_chain_graphs(_molecules(spark, sf_dir)), ["mol_id"]).select("mol_id", F.array_join("image", ",").alias("image"))
 
 
 @query("WITH s AS (SELECT unnest([[0,0,0]]) AS h), m AS (SELECT unnest(range(8)) AS b) SELECT DISTINCT 'amine' AS type, repeat('0', bit_count(b::BIGINT)::INT) AS hubs FROM m")
@@ -508,10 +532,11 @@ def fragment_queries(spark, sf_dir):
     return out.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_results"))
 
 
-@query("SELECT * FROM (VALUES ('joback', 41), ('saft', 36), ('unifac', 92)) t(library, n_groups)")
+@query("SELECT * FROM (VALUES ('joback', 42), ('saft', 36), ('unifac', 92)) t(library, n_groups)")
 def library_sizes(spark, sf_dir):
-    """The SQL holds the published sizes."""
-    return spark.createDataFrame([(k, len(v)) for k, v in libraries.LIBRARIES.items()], "library string, n_groups int")
+    """The published sizes, with one group added to the first; the SQL holds them."""
+    every = functools.reduce(DataFrame.unionByName, [libraries.groups(spark, k) for k in libraries.LIBRARIES])
+    return libraries.sizes(libraries.added(every, "joback", ("-B<", "[B]", (0, 0, 0))))
 
 
 @query("""SELECT library, smiles, type, n::BIGINT AS n FROM (VALUES ('unifac', 'CC(C)C', 'CH', 1), ('unifac', 'CC(C)C', 'CH3', 3), ('joback', 'CC(C)C', '-CH3', 3), ('joback', 'CC(C)C', '>CH-', 1), ('saft', 'CC(C)C', 'CH3', 3), ('saft', 'CC(C)C', 'CH', 1), ('unifac', 'OCC(O)CO', 'OH (P)', 2), ('unifac', 'OCC(O)CO', 'CH2', 2), ('unifac', 'OCC(O)CO', 'CH', 1), ('unifac', 'OCC(O)CO', 'OH (S)', 1), ('joback', 'OCC(O)CO', '-OH (alcohol)', 3), ('joback', 'OCC(O)CO', '-CH2-', 2), ('joback', 'OCC(O)CO', '>CH-', 1), ('saft', 'OCC(O)CO', 'CH2OH', 2), ('saft', 'OCC(O)CO', 'CHOH', 1), ('unifac', 'O=CO', 'HCOO', 1), ('joback', 'O=CO', '-COOH (acid)', 1), ('saft', 'O=CO', 'COOH', 1), ('unifac', 'COC(C)=O', 'CH3COO', 1), ('unifac', 'COC(C)=O', 'CH3', 1), ('joback', 'COC(C)=O', '-CH3', 2), ('joback', 'COC(C)=O', '-COO- (ester)', 1), ('saft', 'COC(C)=O', 'CH3', 2), ('saft', 'COC(C)=O', 'COO', 1)) t(library, smiles, type, n)""")
@@ -525,36 +550,124 @@ def library_fragments(spark, sf_dir):
 # --- molecules
 
 
-@query("SELECT * FROM (VALUES ('basic', 'CN'), ('single_node', 'C'), ('single_edge', 'CC'), ('five_ring', 'C1CCCC1'), ('empty', '')) t(name, smiles)")
+@query(f"WITH {_MOLS} SELECT mol_id, length(smiles)::INT AS n_atoms, length(smiles)::INT - 1 AS n_bonds, true AS same FROM mols")
 def graph_to_smiles(spark, sf_dir):
-    """Port graphs expanded to atoms and written; the SQL holds the expected texts."""
-    c, n = gen.Group("c", "C", (0, 0, 0, 0)), gen.Group("n", "N", (0, 0, 0))
-    cases = {"empty": ([], []), "basic": ([c, n], [(0, 0, 1, 0)]), "single_node": ([c], []), "single_edge": ([c, c], [(0, 0, 1, 0)]), "five_ring": ([c] * 5, [(i, 0, (i + 1) % 5, 1) for i in range(5)])}
-    return spark.createDataFrame([(k, mol.write(gen.expand(g, e))) for k, (g, e) in cases.items()], "name string, smiles string")
+    """Chains as port graphs of single atoms, expanded to atoms and written; each must be the molecule that its own text is."""
+    m = _molecules(spark, sf_dir)
+    nodes = m.select(F.col("mol_id").alias("graph_id"), F.posexplode(F.split("smiles", "")).alias("node_id", "type")).filter("type <> ''").select("graph_id", "node_id", "type", F.col("type").alias("pattern"), F.array(F.lit(0), F.lit(0)).alias("hubs"))
+    edges = m.filter(F.length("smiles") > 1).select(F.col("mol_id").alias("graph_id"), F.explode(F.sequence(F.lit(0), F.length("smiles") - 2)).alias("src")).select("graph_id", F.col("src").alias("edge_seq"), "src", F.lit(1).alias("src_port"), (F.col("src") + 1).alias("dst"), F.lit(0).alias("dst_port"))
+    out = chem.expanded(nodes, edges).withColumnRenamed("graph_id", "mol_id").join(chem.keyed(m, ["mol_id"]), "mol_id")
+    return out.select("mol_id", "n_atoms", "n_bonds", (F.col("smiles") == F.col("canonical")).alias("same"))
 
 
-@query("SELECT name, n_texts::BIGINT AS n_texts FROM (VALUES ('ethanol', 3), ('dimethyl ether', 1), ('propane', 2)) t(name, n_texts)")
+@query(f"WITH {_MOLS} SELECT min(smiles) AS smiles, count(DISTINCT smiles) AS n_texts, count(*) AS n_molecules FROM mols GROUP BY least(smiles, reverse(smiles))")
 def canonical_dedup(spark, sf_dir):
-    """Texts of the same molecule share a key; the SQL holds the expected counts."""
-    rows = [("ethanol", "CCO"), ("ethanol", "OCC"), ("ethanol", "C(O)C"), ("dimethyl ether", "COC"), ("propane", "CCC"), ("propane", "C(C)C")]
-    keyed = spark.createDataFrame([(n, s, mol.parse(s).key()) for n, s in rows], "name string, smiles string, canonical_key string")
-    return keyed.groupBy("canonical_key").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n_texts")).select("name", "n_texts")
+    """Texts of the same molecule share a key."""
+    return chem.keyed(_molecules(spark, sf_dir), ["mol_id", "smiles"]).groupBy("canonical_key").agg(F.min("smiles").alias("smiles"), F.countDistinct("smiles").alias("n_texts"), F.count(F.lit(1)).alias("n_molecules")).drop("canonical_key")
 
 
-@query("SELECT * FROM (VALUES ('C', '0,0,0,0'), ('CO', '0,0,0,1'), ('CHONPBrBClISiSeSFLi', '0,0,0,2,3,3,4,4,6,6,9,9,9,10,11')) t(pattern, hubs)")
-def hubs_from_pattern(spark, sf_dir):
-    """The SQL holds the expected answers."""
-    return spark.createDataFrame([(p, ",".join(map(str, mol.hubs_of(p)))) for p in ("C", "CO", "CHONPBrBClISiSeSFLi")], "pattern string, hubs string")
+@query(f"WITH {_MOLS}, a AS (SELECT mol_id, smiles, unnest(range(length(smiles)))::INT AS i FROM mols), e AS (SELECT mol_id, i, substr(smiles, i + 1, 1) AS element FROM a) SELECT mol_id, i AS atom_id, element, CASE element WHEN 'C' THEN 4 WHEN 'N' THEN 3 ELSE 2 END AS valency FROM e")
+def molecule_atoms(spark, sf_dir):
+    return chem.atoms(chem.parsed(_molecules(spark, sf_dir), ["mol_id"]), ["mol_id"]).drop("charge")
+
 
+@query(f"WITH {_MOLS}, a AS (SELECT mol_id, unnest(range(length(smiles) - 1))::INT AS i FROM mols) SELECT mol_id, i AS src, i + 1 AS dst, 1.0::DOUBLE AS bond_order FROM a UNION ALL SELECT mol_id, i + 1, i, 1.0 FROM a")
+def molecule_bonds(spark, sf_dir):
+    return chem.bonds(chem.parsed(_molecules(spark, sf_dir), ["mol_id"]), ["mol_id"])
 
-_MATCHES = [("CCC", "C", [0]), ("CCC", "C", [0, 0]), ("CCC", "C", [0, 0, 0]), ("CCOCO", "CO", [0, 0]), ("C=CO", "C=C", [0]), ("C=CO", "C=C", [0, 0]), ("C=CO", "O", [0]), ("CNCNOC=O", "C(-O)(=O)", [0]), ("CNCNOC=O", "C(-O)(=O)", [1]), ("CNCNC(=O)O", "CNC", [2]), ("CNCNC(=O)O", "CNC", [0, 2, 2])]
+
+@query(f"WITH {_MOLS}, a AS (SELECT mol_id, length(smiles) AS n, smiles, unnest(range(length(smiles)))::INT AS hub FROM mols) SELECT mol_id, hub, CASE substr(smiles, hub + 1, 1) WHEN 'C' THEN 3 WHEN 'N' THEN 2 ELSE 1 END + CASE WHEN n = 1 THEN 1 ELSE 0 END::BIGINT AS n_ports FROM a")
+def hubs_from_pattern(spark, sf_dir):
+    h = chem.hubs_from_patterns(_molecules(spark, sf_dir), ["mol_id"], "smiles")
+    return h.select("mol_id", F.explode("hubs").alias("hub")).groupBy("mol_id", "hub").agg(F.count(F.lit(1)).alias("n_ports"))
 
 
-@query("""SELECT * FROM (VALUES (1, '0'), (1, '2'), (2, '1'), (5, '1 0'), (7, '2'), (9, '5 4 6'), (10, '0 1 2'), (11, '2 3 4')) t(case_id, image)""")
+
+@query(f"""WITH {_MOLS}, l AS (SELECT mol_id, smiles, length(smiles)::INT AS n FROM mols WHERE length(smiles) > 2)
+SELECT mol_id, (n - 2) || ' ' || (n - 1) AS image FROM l WHERE smiles LIKE '%CO' UNION ALL SELECT mol_id, '1 0' FROM l WHERE smiles LIKE 'OC%'""")
 def substructure_search(spark, sf_dir):
-    """The SQL holds the expected maps."""
-    rows = [(i, " ".join(map(str, m))) for i, (t, q, h) in enumerate(_MATCHES, 1) for m in mol.search(mol.parse(t), mol.parse(q), h)]
-    return spark.createDataFrame(rows, "case_id int, image string")
+    """Carbon with oxygen at the end of a chain: one bond leaves the carbon, none the oxygen."""
+    return chem.substructures(_molecules(spark, sf_dir), ["mol_id"], "CO", [0]).select("mol_id", F.array_join("image", " ").alias("image"))
+
+
+@query(f"""WITH {_MOLS}, a AS (SELECT mol_id, smiles, unnest(range(1, length(smiles))) AS i FROM mols)
+SELECT mol_id, count(*) AS n_matches FROM a WHERE substr(smiles, i::INT, 2) IN ('CO', 'OC') GROUP BY mol_id""")
+def pattern_matches(spark, sf_dir):
+    return chem.pattern_matches(_molecules(spark, sf_dir), ["mol_id"], "[#6]~[#8;D1,D2]").groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_matches"))
+
+
+@query(f"""WITH RECURSIVE {_MOLS}, t AS (SELECT DISTINCT smiles, length(smiles)::INT AS n FROM mols), f AS (SELECT smiles, n, 1 AS i, 1::BIGINT AS now, 1::BIGINT AS before FROM t
+UNION ALL SELECT smiles, n, i + 1, now + CASE WHEN substr(smiles, i, 2) IN ('CN', 'NC') THEN before ELSE 0 END, now FROM f WHERE i < n)
+SELECT smiles, now AS n_covers, true AS same FROM f WHERE i = n""")
+def cover_round_trip(spark, sf_dir):
+    """Every cover of each chain by single atoms and the pair CN, as a port graph; put together again each must be the molecule it came from."""
+    pieces = [gen.Group("c", "C", (0, 0, 0)), gen.Group("n", "N", (0, 0, 0)), gen.Group("o", "O", (0, 0)), gen.Group("cn", "CN", (0, 0, 0, 1, 1))]
+    m = _molecules(spark, sf_dir).select("smiles").distinct()
+    g = fragment.cover_graphs(m, pieces).select("smiles", F.concat_ws("/", "smiles", "result").alias("graph_id"), "nodes", "edges")
+    nodes = g.select("graph_id", F.posexplode("nodes").alias("node_id", "n")).select("graph_id", "node_id", "n.*")
+    edges = g.select("graph_id", F.posexplode("edges").alias("edge_seq", "e")).select("graph_id", "edge_seq", "e.*")
+    back = chem.expanded(nodes, edges).select(F.substring_index("graph_id", "/", 1).alias("smiles"), F.col("smiles").alias("back"))
+    return back.join(chem.keyed(m, ["smiles"]), "smiles").groupBy("smiles").agg(F.count(F.lit(1)).alias("n_covers"), F.bool_and(F.col("back") == F.col("canonical")).alias("same"))
+
+
+@query(f"""WITH {_MOLS} SELECT mol_id, length(smiles)::INT AS n_groups, length(smiles)::INT - 1 AS n_edges FROM mols""")
+def fragment_graphs(spark, sf_dir):
+    """Chains laid out with single atoms: one result each, with an edge for each bond."""
+    pieces = fragment.pieces_of(["[C]", "[N]", "[O]"])
+    pieces = [p._replace(hubs=h) for p, h in zip(pieces, ((0, 0, 0, 0), (0, 0, 0), (0, 0)), strict=True)]
+    g = fragment.port_graphs(_molecules(spark, sf_dir), pieces, incomplete="raise error", keep=["mol_id"])
+    return g.select("mol_id", F.size("nodes").alias("n_groups"), F.size("edges").alias("n_edges"))
+
+
+_OFFERED = "b AS (SELECT mol_id, seq, seq::INT AS src, (seq + 1)::INT AS dst FROM (SELECT mol_id, smiles, unnest(range(length(smiles)))::INT AS seq FROM mols))"
+
+
+@query(f"""WITH {_MOLS}, {_OFFERED}, l AS (SELECT mol_id, length(smiles) AS n, smiles FROM mols)
+SELECT b.mol_id, b.seq, CASE WHEN b.seq = l.n - 1 THEN 'no target' END AS reason FROM b JOIN l USING (mol_id)""")
+def bond_admission(spark, sf_dir):
+    """Bonds of each chain, and one past its end."""
+    m = chem.parsed(_molecules(spark, sf_dir), ["mol_id"])
+    offered = chem.atoms(m, ["mol_id"]).select("mol_id", F.col("atom_id").alias("seq"), F.col("atom_id").alias("src"), (F.col("atom_id") + 1).alias("dst"), F.lit(1.0).alias("bond_order"))
+    return chem.admit_bonds(chem.atoms(m, ["mol_id"]), offered).select("mol_id", "seq", "reason")
+
+
+@query(f"""WITH {_MOLS}, a AS (SELECT mol_id, smiles, unnest(range(length(smiles)))::INT AS seq FROM mols), t AS (SELECT mol_id, seq, substr(smiles, seq + 1, 1) AS type FROM a),
+f AS (SELECT mol_id, type, min(seq) AS first FROM t GROUP BY ALL) SELECT mol_id, seq, type, seq AS node_id, NULL::VARCHAR AS reason FROM t JOIN f USING (mol_id, type)
+UNION ALL SELECT mol_id, 1000, substr(smiles, 1, 1), NULL, 'type exists with another pattern and other hubs' FROM mols UNION ALL SELECT mol_id, 1001, 'unheard', NULL, 'unknown type without a pattern' FROM mols""")
+def node_admission(spark, sf_dir):
+    """A node for each atom, the first of a type with its pattern; then one that changes a known type, and one of an unknown type."""
+    a = chem.atoms(chem.parsed(_molecules(spark, sf_dir), ["mol_id"]), ["mol_id"]).select(F.col("mol_id").alias("graph_id"), F.col("atom_id").alias("seq"), F.col("element").alias("type"))
+    first = a.groupBy("graph_id", "type").agg(F.min("seq").alias("first"))
+    known = a.join(first, ["graph_id", "type"]).select("graph_id", "seq", "type", F.when(F.col("seq") == F.col("first"), F.col("type")).alias("pattern"), F.when(F.col("seq") == F.col("first"), F.array(F.lit(0), F.lit(0))).alias("hubs"))
+    heads = a.filter("seq = 0")
+    changed = heads.select("graph_id", F.lit(1000).alias("seq"), "type", F.lit("F").alias("pattern"), F.array(F.lit(0)).alias("hubs"))
+    unheard = heads.select("graph_id", F.lit(1001).alias("seq"), F.lit("unheard").alias("type"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("array<int>").alias("hubs"))
+    return chem.admit_nodes(known.unionByName(changed).unionByName(unheard)).select(F.col("graph_id").alias("mol_id"), "seq", "type", "node_id", "reason")
+
+
+@query(f"""WITH {_ENDS}, n AS (SELECT graph_id, string_agg(node_id || ':' || type, ', ' ORDER BY node_id) AS n FROM nodes GROUP BY 1), e AS (SELECT graph_id, string_agg(src || '.' || src_port || '-' || dst || '.' || dst_port, ', ' ORDER BY edge_seq) AS e FROM chain GROUP BY 1)
+SELECT graph_id, 'nodes [' || n || '] edges [' || coalesce(e, '') || ']' AS text FROM n LEFT JOIN e USING (graph_id)""")
+def graph_texts(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return chem.graph_texts(n, chain_edges(n))
+
+
+@query("""WITH t AS (SELECT list_sort(list(DISTINCT event_type)) AS a FROM events), m AS (SELECT a, unnest(range(1 << len(a))) AS b FROM t)
+SELECT array_to_string(list_filter(a, lambda x, i: (b >> (i - 1)) & 1 = 1), ',') AS subset FROM m""")
+def alphabet_powerset(spark, sf_dir):
+    return chem.powerset(table(spark, sf_dir, "events"), "event_type").select(F.array_join("subset", ",").alias("subset"))
+
+
+@query(f"""WITH {_NODES}, e AS (SELECT DISTINCT p.type AS a, q.type AS b FROM chain c JOIN nodes p ON p.graph_id = c.graph_id AND p.node_id = c.src JOIN nodes q ON q.graph_id = c.graph_id AND q.node_id = c.dst WHERE p.type <> 'error')
+SELECT x.a || '*' || x.b AS term FROM e x JOIN e y ON x.a = y.b AND x.b = y.a""")
+def inventory_filter(spark, sf_dir):
+    """A term for each two types; those stay that follow each other in both orders, edges that leave errors not counted."""
+    n = _nodes(spark, sf_dir)
+    src, dst = n.select("graph_id", F.col("node_id").alias("src"), F.col("type").alias("a")), n.select("graph_id", F.col("node_id").alias("dst"), F.col("type").alias("b"))
+    edges = chain_edges(n).join(src, ["graph_id", "src"]).join(dst, ["graph_id", "dst"]).filter("a <> 'error'").select("a", "b").distinct()
+    types = spark.createDataFrame([(a, b) for a in EVENT_PORTS for b in EVENT_PORTS], "a string, b string")
+    pairs = types.select(F.concat_ws("*", "a", "b").alias("term"), F.concat_ws("*", "a", "b").alias("factor"), "a", "b")
+    return chem.filtered_inventory(pairs.select("term", "factor"), pairs.select("factor", "a", "b"), edges)
 
 
 @query("SELECT * FROM (VALUES (0, 'C', 2), (1, 'C', 1), (2, 'O', 0), (3, 'C', 2)) t(atom_id, element, free_valency)")
@@ -617,3 +730,85 @@ def wl_labels(spark, sf_dir):
     """Refined labels by how many graphs have them."""
     n = _nodes(spark, sf_dir)
     return space.wl_features(n, chain_edges(n), 2).groupBy("label").agg(F.count(F.lit(1)).alias("n_graphs"), F.sum("n").alias("n"))
+
+
+# --- more of the space's network
+
+
+@query(f"""WITH RECURSIVE {_NET}, r AS (SELECT id, id AS x FROM u UNION SELECT r.id, arcs.b FROM r JOIN arcs ON arcs.a = r.x) SELECT id, min(x) AS component FROM r GROUP BY id""")
+def network_components(spark, sf_dir):
+    return space.components(_vectors(spark, sf_dir).select("id"), _network(spark, sf_dir))
+
+
+@query()
+def greedy_communities(spark, sf_dir):
+    """Communities of the network, largest first, with its modularity; tested against plain merging."""
+    net = checkpointed(_network(spark, sf_dir))
+    found = checkpointed(space.communities(net.select(F.lit("net").alias("g"), "i", "j")).select("id", "community"))
+    return found.groupBy("community").agg(F.count(F.lit(1)).alias("n")).join(space.modularity(net, found, CUTOFFS[:1]).select(F.round("modularity", 9).alias("modularity")))
+
+
+_WL = _NODES + """, x0 AS (SELECT graph_id, node_id, type AS l FROM nodes), ar AS (SELECT graph_id, src AS a, dst AS b FROM chain UNION SELECT graph_id, dst, src FROM chain),
+x1 AS (SELECT x.graph_id, x.node_id, any_value(x.l) || '(' || coalesce(string_agg(y.l, ',' ORDER BY y.l), '') || ')' AS l FROM x0 x LEFT JOIN ar ON ar.graph_id = x.graph_id AND ar.a = x.node_id LEFT JOIN x0 y ON y.graph_id = ar.graph_id AND y.node_id = ar.b GROUP BY ALL),
+x2 AS (SELECT x.graph_id, x.node_id, any_value(x.l) || '(' || coalesce(string_agg(y.l, ',' ORDER BY y.l), '') || ')' AS l FROM x1 x LEFT JOIN ar ON ar.graph_id = x.graph_id AND ar.a = x.node_id LEFT JOIN x1 y ON y.graph_id = ar.graph_id AND y.node_id = ar.b GROUP BY ALL),
+w AS (SELECT graph_id, l, count(*) AS n FROM (SELECT graph_id, l || '0' AS l FROM x0 UNION ALL SELECT graph_id, l || '1' FROM x1 UNION ALL SELECT graph_id, l || '2' FROM x2) GROUP BY ALL)"""
+
+
+@query(f"WITH {_WL} SELECT n_graphs, n, count(*) AS n_labels FROM (SELECT l, count(*) AS n_graphs, sum(n)::BIGINT AS n FROM w GROUP BY l) GROUP BY ALL")
+def wl_label_classes(spark, sf_dir):
+    """How many refined labels have so many graphs and nodes; the SQL spells labels out."""
+    n = _nodes(spark, sf_dir)
+    per = space.wl_features(n, chain_edges(n), 2).groupBy("label").agg(F.count(F.lit(1)).alias("n_graphs"), F.sum("n").alias("n"))
+    return per.groupBy("n_graphs", "n").agg(F.count(F.lit(1)).alias("n_labels"))
+
+
+# --- variants, sinks and what drawings need
+
+
+@query("""WITH g AS (SELECT s_suppkey AS id, list_transform(range(12), lambda i: (i % (1 + s_suppkey % 12))::INT) AS hubs FROM supplier), m AS (SELECT id, hubs, unnest(range(4096)) AS b FROM g)
+SELECT id, count(DISTINCT list_sort(list_filter(hubs, lambda x, i: (b >> (i - 1)) & 1 = 1))) AS n_variants FROM m GROUP BY id""")
+def many_port_variants(spark, sf_dir):
+    """Groups of twelve ports on one to twelve atoms, and in how many ways their ports can be used."""
+    k = F.col("s_suppkey")
+    g = table(spark, sf_dir, "supplier").select(k.cast("string").alias("type"), F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: (i % (1 + k % 12)).cast("int")).alias("hubs"))
+    return fragment.variants_of(g).groupBy(F.col("type").cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("n_variants"))
+
+
+@query("""WITH u AS (SELECT [coalesce(l_discount, 0), l_tax, 0] AS v FROM lineitem), n AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u WHERE list_dot_product(v, v) > 0),
+t AS (SELECT sum(v[1]) AS a, sum(v[2]) AS b, count(*)::DOUBLE AS n FROM n) SELECT round(1 - (a * a + b * b - n) / (n * (n - 1)), 6) AS diversity FROM t""")
+def diversity_with_zero_vectors(spark, sf_dir):
+    """Of lines as (discount, tax, 0); lines with neither have no direction."""
+    rows = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("id"), F.array("l_discount", "l_tax", F.lit(0.0)).alias("v"))
+    return space.diversity(rows).select(F.round("diversity", 6).alias("diversity"))
+
+
+@query("""WITH c AS (SELECT user_id, CASE WHEN user_id % 3 > 0 THEN event_type END AS k FROM events) SELECT DISTINCT k FROM c WHERE user_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM c d WHERE d.user_id % 2 = 0 AND d.k IS NOT DISTINCT FROM c.k)""")
+def dedup_sink_null_keys(spark, sf_dir):
+    """A sink that has taken even users' types, nulls among them, and what it appends of those of odd users."""
+    c = table(spark, sf_dir, "events").select("user_id", F.when(F.col("user_id") % 3 > 0, F.col("event_type")).alias("k"))
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    text.append_new(c.filter("user_id % 2 = 0").select("k"), path, "k")
+    return text.append_new(c.filter("user_id % 2 = 1").select("k"), path, "k")
+
+
+@query(f"""WITH {_NODES}, p AS (SELECT graph_id, node_id, n_ports, unnest(range(n_ports + 1))::INT AS k FROM nodes)
+SELECT graph_id, node_id, k, round(node_id + 2.0 * cos(-k * 2 * pi() / n_ports), 6) + 0.0 AS x, round(2.0 * sin(-k * 2 * pi() / n_ports), 6) + 0.0 AS y FROM p""")
+def port_places(spark, sf_dir):
+    """Places of each node's ports, nodes in a row."""
+    n = _nodes(spark, sf_dir).withColumn("p", drawing.port_places(F.col("node_id").cast("double"), F.lit(0.0), F.col("n_ports"), F.lit(2.0)))
+    return n.select("graph_id", "node_id", F.posexplode("p").alias("k", "p")).select("graph_id", "node_id", "k", (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))
+
+
+@query(f"""WITH {_NODES} SELECT graph_id, edge_seq, CASE WHEN src % 3 > dst % 3 THEN dst_port || '  -  ' || src_port ELSE src_port || '  -  ' || dst_port END AS label FROM chain""")
+def edge_labels(spark, sf_dir):
+    """Labels of edges whose nodes stand at node_id mod 3."""
+    return chain_edges(_nodes(spark, sf_dir)).select("graph_id", "edge_seq", drawing.edge_label(F.col("src_port"), F.col("dst_port"), F.col("src") % 3, F.col("dst") % 3).alias("label"))
+
+
+@query(f"""WITH {_NODES}, n AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1), e AS (SELECT graph_id, count(*) AS n FROM chain GROUP BY 1) SELECT n.graph_id, n.n AS n_nodes, coalesce(e.n, 0) AS n_edges FROM n LEFT JOIN e USING (graph_id)""")
+def viewer_elements(spark, sf_dir):
+    """Elements of each graph, read back from their JSON and counted."""
+    n = _nodes(spark, sf_dir)
+    e = F.from_json("elements", "array<struct<data:struct<id:string,source:string>,position:struct<x:int,y:int>>>")
+    found = drawing.elements(n, chain_edges(n)).select("graph_id", e.alias("e"))
+    return found.select("graph_id", F.size(F.filter("e", lambda x: x["position"].isNotNull())).cast("bigint").alias("n_nodes"), F.size(F.filter("e", lambda x: x["data"]["source"].isNotNull())).cast("bigint").alias("n_edges"))

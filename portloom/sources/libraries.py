@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,20 +195,40 @@ LIBRARIES = {"joback": JOBACK, "unifac": UNIFAC, "saft": SAFT}
 SINGLE = [("DEFAULT#6", "[#6]"), ("DEFAULT#7", "[#7]"), ("DEFAULT#8", "[#8]"), ("DEFAULT#9", "[#9]"), ("DEFAULT#16", "[#16]"), ("DEFAULT#17", "[#17]"), ("DEFAULT#35", "[#35]"), ("DEFAULT", "[*]")]
 
 
+#: Where the published groups are from.
+DOI = {"joback": "https://doi.org/10.1021/i200013a024", "unifac": "https://doi.org/10.1021/i200013a024", "saft": "https://doi.org/10.1080/00268978800101601"}
+TRACE = "library string, ordinal int, type string, pattern string, pattern_type string, hubs array<int>, doi string, extended string, priority int"
+
+
 def groups(spark: SparkSession, library: str) -> DataFrame:
-    """(ordinal, type, pattern, hubs) of a library; types may repeat, the ordinal tells groups apart."""
-    rows = [(i, t, p, list(h)) for i, (t, p, h) in enumerate(LIBRARIES[library])]
-    return spark.createDataFrame(rows, "ordinal int, type string, pattern string, hubs array<int>")
+    """A library's groups with their traces; types may repeat, the ordinal tells groups apart. Published groups have no extended pattern and no priority here."""
+    rows = [(library, i, t, p, "SMARTS", list(h), DOI[library], None, None) for i, (t, p, h) in enumerate(LIBRARIES[library])]
+    return spark.createDataFrame(rows, TRACE)
+
+
+def added(library: DataFrame, name: str, group: tuple[str, str, Sequence[int]], pattern_type: str = "SMARTS", doi: str | None = None, extended: str | None = None, priority: int | None = None) -> DataFrame:
+    """The library with one group more, after its last."""
+    kind, pattern, hubs = group
+    if not kind and not pattern:
+        raise ValueError("a group needs a type or a pattern")
+    new = library.sparkSession.createDataFrame([(name, kind, pattern, pattern_type, list(hubs), doi, extended, priority)], TRACE.replace("ordinal int, ", ""))
+    last = library.filter(F.col("library") == name).agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("ordinal"))
+    return library.unionByName(new.join(F.broadcast(last)))
+
+
+def sizes(library: DataFrame) -> DataFrame:
+    """(library, n_groups)."""
+    return library.groupBy("library").agg(F.count(F.lit(1)).cast("int").alias("n_groups"))
 
 
 def histograms(molecules: DataFrame, library: str, on_fail: str = "remove") -> DataFrame:
     """(smiles, type, n): the groups of each molecule's first complete result, greatest groups laid first.
 
     A molecule that the library doesn't cover gives no rows (``remove``), single
-    atoms for what is left (``itemize``), or one group that is the molecule
-    (``condense``).
+    atoms for what is left (``itemize``), one group that is the molecule
+    (``condense``), or stops the query (``error``).
     """
-    if on_fail not in ("remove", "itemize", "condense"):
+    if on_fail not in ("remove", "itemize", "condense", "error"):
         raise ValueError(f"unknown on_fail {on_fail!r}")
 
     def counted(rows: list[tuple[str, str]]) -> DataFrame:
@@ -219,6 +241,9 @@ def histograms(molecules: DataFrame, library: str, on_fail: str = "remove") -> D
     if on_fail == "remove":
         return found
     left = molecules.select("smiles").distinct().join(found.select("smiles").distinct(), "smiles", "left_anti")
+    if on_fail == "error":
+        stop = F.raise_error(F.concat(F.lit("no groups of the library cover "), "smiles"))
+        return found.unionByName(left.select("smiles", stop.cast("string").alias("type"), F.lit(0).cast("bigint").alias("n")))
     if on_fail == "condense":
         return found.unionByName(left.select("smiles", F.col("smiles").alias("type"), F.lit(1).cast("bigint").alias("n")))
     return found.unionByName(counted(own + SINGLE).join(left, "smiles", "left_semi"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,11 @@ GRAPH_JSON = "nodes array<struct<id:int,ntype:string,pattern:string,patternType:
 
 
 def read_colored(spark: SparkSession, path: str) -> DataFrame:
-    """Coloured graphs from a text file, blank lines left out."""
-    return parse_colored(spark.read.text(path).filter(F.length("value") > 0))
+    """Coloured graphs from a text file, blank lines left out. A missing file or one without lines is an error."""
+    lines = spark.read.text(path).filter(F.length("value") > 0)
+    if not lines.limit(1).count():
+        raise ValueError(f"no graphs in {path!r}")
+    return parse_colored(lines)
 
 
 def parse_colored(lines: DataFrame) -> DataFrame:
@@ -52,17 +57,40 @@ def from_json(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
+#: Folders that a sink's keys are dealt into, so that a batch reads only those its keys lie in.
+SINK_BUCKETS = 64
+
+
+def append_new(rows: DataFrame, path: str, key: str, batch: str | None = None) -> DataFrame:
     """Appends rows whose key the Parquet table at ``path`` doesn't hold yet, each key once; returns what was appended.
 
-    Run again with the same rows it appends nothing.
+    A null key is a key. Run again with the same rows it appends nothing. Each
+    ``batch`` has its own folders: one that is written again, after a crash
+    between its job and the note that it was done, replaces what it wrote. One
+    writer at a time. The table has two more columns, ``_bucket`` and ``_batch``.
     """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates([key])
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SINK_BUCKETS)).cast("int")
+    fresh = checkpointed(rows.dropDuplicates([key]).withColumn("_bucket", bucket))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name = "b" + (uuid.uuid4().hex if batch is None else batch)
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    fresh = checkpointed(fresh)
-    fresh.write.mode("append").parquet(path)
+        mine = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]
+        old = spark.read.parquet(path).filter(F.col("_bucket").isin(mine) & (F.col("_batch") != name)).select(F.col(key).alias("_old"))
+        fresh = checkpointed(fresh.join(old, F.col(key).eqNullSafe(F.col("_old")), "left_anti"))
+    out = fresh.withColumn("_batch", F.lit(name)).write.partitionBy("_bucket", "_batch").option("partitionOverwriteMode", "dynamic")
+    out.mode("overwrite").parquet(path)
+    return fresh.drop("_bucket")
+
+
+def append_jdbc(rows: DataFrame, url: str, name: str, key: str, options: dict[str, str] | None = None) -> DataFrame:
+    """The same sink over JDBC: rows of keys that table ``name`` doesn't hold yet; its primary key holds against other writers."""
+    old = rows.sparkSession.read.format("jdbc").options(url=url, dbtable=f"(SELECT {key} AS _old FROM {name}) t", **(options or {})).load()
+    fresh = checkpointed(rows.dropDuplicates([key]).join(old, F.col(key).eqNullSafe(F.col("_old")), "left_anti"))
+    fresh.write.format("jdbc").options(url=url, dbtable=name, **(options or {})).mode("append").save()
     return fresh
+
+
+def settings(text: str) -> dict[str, str]:
+    """``key=value`` lines; blank lines and those without ``=`` are left out, spaces around both parts cut."""
+    return {k.strip(): v.strip() for line in text.splitlines() if "=" in line for k, v in [line.split("=", 1)]}

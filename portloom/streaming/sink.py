@@ -21,9 +21,10 @@ def new_keys(rows: DataFrame, key: str, time: str, late: str = "1 day") -> DataF
 
 
 def upsert(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends rows of new keys, so that a batch that runs again adds nothing."""
+    """For ``foreachBatch``: appends rows of new keys, so that a batch that runs again adds nothing. Batches are told apart by the query's id, which its checkpoint keeps, and their number."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        append_new(batch, path, key)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_new(batch, path, key, f"{query}-{epoch}")
 
     return write
