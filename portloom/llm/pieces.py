@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Longest chunk whose ids are kept, chunks kept, and pairs of pieces kept, by each Python worker.
-KEPT_LENGTH, KEPT_CHUNKS, KEPT_PAIRS = 48, 500_000, 600_000
+#: Longest chunk whose ids are kept, chunks kept in each of two generations, and pairs of pieces kept, by each Python worker: some 110 MB.
+KEPT_LENGTH, KEPT_CHUNKS, KEPT_PAIRS = 48, 200_000, 300_000
 #: Places between two looks for a common boundary in a long chunk.
 LOOK = 64
 _CHUNK = re.compile(r"\n+| *[^ \n]+| +")
