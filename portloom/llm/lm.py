@@ -6,12 +6,16 @@ lie in frequency classes and both parts depend on the state; all other words
 lie in classes by their last character, within which their share is their
 count. So every text has a probability, unseen words too.
 
-Counts come from all training documents. The network is a GRU in numpy, trained
-by backpropagation through windows of ``STEPS`` tokens with the state carried
-from one to the next, over all windows of every training document in each
-round. Each partition trains a copy from the same start, and copies are
-averaged in a tree, so neither a task nor the driver ever holds all of them.
-Scoring runs over whole documents and carries the state across windows.
+Counts come from all training documents. Texts become codes once, stored in the
+shared folder. The network is a GRU in numpy, trained by backpropagation through
+windows of ``STEPS`` tokens with the state carried from one to the next, over
+all windows of every training document, each once. Documents are dealt by a hash
+of id and text to copies of the network, of about ``COPY_TOKENS`` tokens each, so
+the result depends on neither files nor batches (rows without an id are dealt by
+their place, so that many of them don't meet in one copy). The first copy is trained from
+nothing, all others start where it ended, and these are averaged in a tree, so
+neither a task nor the driver ever holds all of them. Scoring runs over whole
+documents and carries the state across windows.
 """
 
 from __future__ import annotations
@@ -21,22 +25,22 @@ import itertools
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portloom.llm.common import stored
 
 #: Words the network knows one by one; words whose counts are broadcast (the rest are joined). Both are fixed, whatever the corpus.
-HEAD, KNOWN = 4096, 120_000
-HEAD_CLASSES, TAIL_CLASSES = 24, 50
-HIDDEN, STEPS, LANES, FIRST_LANES = 32, 16, 96, 4
-#: Rounds of averaging, each over all training documents; documents that a task sorts by length at a time.
-ROUNDS, CHUNK = 2, 1024
+HEAD, KNOWN = 1024, 120_000
+HEAD_CLASSES, TAIL_CLASSES = 16, 50
+HIDDEN, STEPS, LANES, FIRST_LANES = 16, 16, 128, 4
+#: Training tokens of a copy of the network, about; documents that a task sorts by length at a time.
+COPY_TOKENS, CHUNK = 2_000_000, 1024
 RATE = 0.06
 #: Copies of the network that one task averages.
 FAN_IN = 16
@@ -333,36 +337,86 @@ def log_likelihoods(net: Network, v: Vocabulary, docs: list[np.ndarray], lanes:
     return np.bincount(doc, lp, len(docs))
 
 
-def _trainer(v_bytes, start):
+def _coder(v_bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Codes of whole texts as 32-bit numbers, and the words that have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pickle.loads(v_bytes.value)
-        net = Network(v)
-        for k, p in start.value.items():
-            getattr(net, k)[...] = p
-        n = train(net, v, (v.codes(tokens(x.as_py()))[0] for b in batches for x in b.column(0)))
-        if n:
-            yield _parts_batch(net.params(), n)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                own, lost = [], []
+                for x in part.column(4):
+                    c, rare = v.codes(tokens(x.as_py()))
+                    own.append(c.astype("<i4").tobytes())
+                    lost.append(rare)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(own, pa.binary()), pa.array(lost, pa.list_(pa.string()))], ["rid", "doc_id", "held_out", "place", "codes", "rare"])
+
+    return run
+
+
+def _unpacked(codes: pa.Array) -> Iterator[np.ndarray]:
+    for x in codes:
+        yield np.frombuffer(x.as_py(), "<i4").astype(np.int64)
+
+
+def _trainer(v_bytes, start) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One network for each copy of a partition, whose rows (copy, codes) come sorted by copy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = pickle.loads(v_bytes.value)
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), strict=True))
+        for copy, own in itertools.groupby(rows, key=lambda r: r[0]):
+            net = Network(v)
+            for k, p in start.value.items():
+                getattr(net, k)[...] = p
+            n = train(net, v, (c for _, c in own))
+            yield _parts_batch(net.params(), copy, n)
 
     return run
 
 
-def _parts_batch(params: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(params)), pa.array([n] * len(params), pa.int64()), pa.array([p.astype("<f4").tobytes() for p in params.values()], pa.binary())], ["part", "n", "data"])
+def _parts_batch(params: dict[str, np.ndarray], copy: int, n: int) -> pa.RecordBatch:
+    m = len(params)
+    return pa.RecordBatch.from_arrays([pa.array(list(params)), pa.array([copy] * m, pa.int32()), pa.array([n] * m, pa.int64()), pa.array([p.astype("<f4").tobytes() for p in params.values()], pa.binary())], ["part", "copy", "n", "data"])
+
+
+_PARTS = "part string, copy int, n bigint, data binary"
 
 
 def _averaged(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("copy")
     n = group["n"].to_numpy(float)
     total = sum(np.frombuffer(d, "<f4").astype(np.float64) * w for d, w in zip(group["data"], n, strict=True))
-    return pd.DataFrame({"part": [group["part"].iloc[0]], "n": [int(n.sum())], "data": [(total / n.sum()).astype("<f4").tobytes()]})
+    return pd.DataFrame({"part": [group["part"].iloc[0]], "copy": [int(group["copy"].iloc[0]) // FAN_IN], "n": [int(n.sum())], "data": [(total / n.sum()).astype("<f4").tobytes()]})
 
 
-def learnt(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
-    """Vocabulary, network and the counts of all words, from the texts of training documents."""
-    spark = docs.sparkSession
+def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words, KNOWN at most, by count and then by word: all of a count or none.
+
+    How many words have each count is summed in bins, exact below 1024 and 64 to
+    a power of two above, so the driver gets some thousand numbers and then
+    these words.
+    """
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("n")) - 6, F.lit(0))).cast("bigint")
+    low = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.col("n") / step) * step).cast("bigint")
+    least, held = None, 0
+    for r in counts.groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("low")).collect():
+        held += r["m"]
+        if held > KNOWN:
+            break
+        least = r["low"]
+    if least is None:
+        return []
+    return sorted(((r["word"].encode(), r["n"]) for r in counts.filter(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of training documents, and the counts of all their words."""
     counts = stored(docs.select(_raw()).mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(r["word"].encode(), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    top = _frequent(counts)
     heads = {w for w, _ in top[:HEAD]}
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,25 +429,34 @@ def learnt(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.array(range(TAIL_CLASSES), pa.int32()), pa.array(n), pa.array(k)], ["cls", "n", "k"])
 
     per = counts.mapInArrow(tails, "cls int, n bigint, k bigint").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
-    v = Vocabulary(top, ends, sums["n"] + ends, sums["v"] + (ends > 0), {r["cls"]: (r["n"], r["k"]) for r in per})
+    return Vocabulary(top, ends, sums["n"] + ends, sums["v"] + (ends > 0), {r["cls"]: (r["n"], r["k"]) for r in per}), counts
+
+
+def fitted(v: Vocabulary, vb, coded: DataFrame) -> Network:
+    """The network trained on rows (place, codes), every token once."""
+    spark = coded.sparkSession
     net = Network(v)
     shapes = {k: p.shape for k, p in net.params().items()}
-    vb = spark.sparkContext.broadcast(pickle.dumps(v))
-    for _ in range(ROUNDS):
+    copies = max(1, round(v.total / COPY_TOKENS))
+    dealt = coded.select(F.pmod("place", F.lit(copies)).cast("int").alias("copy"), "codes", "place")
+    # The first copy alone, then all others from where it ended.
+    for first, last in ((0, 1), (1, copies)):
+        if first == last:
+            break
         start = spark.sparkContext.broadcast(net.params())
-        copies = stored(docs.select(_raw()).mapInArrow(_trainer(vb, start), "part string, n bigint, data binary").withColumn("copy", F.monotonically_increasing_id()), "copies")
-        left = copies.count()
-        while left > len(shapes):
-            # FAN_IN copies of a part to a task, until one is left.
-            deal = F.floor((F.row_number().over(Window.partitionBy("part").orderBy("copy")) - 1) / FAN_IN) if left <= 4096 * len(shapes) else F.pmod(F.xxhash64("copy"), F.lit(left // (len(shapes) * FAN_IN)))
-            copies = stored(copies.withColumn("g", deal).groupBy("part", "g").applyInPandas(_averaged, "part string, n bigint, data binary").withColumn("copy", F.monotonically_increasing_id()), "copies")
-            left = copies.count()
-        for r in copies.collect():
+        left = last - first
+        rows = dealt.withColumn("copy", F.col("copy") - first).filter((F.col("copy") >= 0) & (F.col("copy") < left)).repartitionById(left, "copy")
+        parts = stored(rows.sortWithinPartitions("copy", "place").select("copy", "codes").mapInArrow(_trainer(vb, start), _PARTS), "copies")
+        while left > 1:
+            left = -(-left // FAN_IN)
+            parts = stored(parts.groupBy("part", F.floor(F.col("copy") / FAN_IN)).applyInPandas(_averaged, _PARTS), "copies")
+        for r in parts.collect():
             getattr(net, r["part"])[...] = np.frombuffer(r["data"], "<f4").reshape(shapes[r["part"]])
-    return v, net, counts
+        start.destroy()
+    return net
 
 
-def _scorer(vb, nb):
+def _scorer(vb, nb) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pickle.loads(vb.value)
         net = Network(v)
@@ -403,11 +466,7 @@ def _scorer(vb, nb):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                docs, lost = [], []
-                for x in part.column(1):
-                    c, rare = v.codes(tokens(x.as_py()))
-                    docs.append(c)
-                    lost.append(rare)
+                docs = list(_unpacked(part.column(3)))
                 net_part = log_likelihoods(net, v, docs) / ln10
                 known, base, tail = [], [], []
                 for c in docs:
@@ -417,30 +476,41 @@ def _scorer(vb, nb):
                     cls = v.classes(c)
                     late = own[own >= v.heads]
                     tail.append(float(v.log_count[late].sum() - v.log_tail[cls[cls >= HEAD_CLASSES] - HEAD_CLASSES].sum()))
-                cols = [part.column(0), part.column(2), part.column(3), pa.array([len(c) for c in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(net_part + np.array(tail)), pa.array(lost, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "net", "rare"])
+                cols = [*part.columns[:3], pa.array([len(c) for c in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(net_part + np.array(tail))]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "net"])
 
     return run
 
 
+def learnt(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame, DataFrame]:
+    """Vocabulary, network, the counts of all words, and the codes of all rows, from rows (rid, doc_id, text, held_out); learns from those not held out."""
+    spark = docs.sparkSession
+    v, counts = vocabulary(docs.filter("NOT held_out"))
+    vb = spark.sparkContext.broadcast(pickle.dumps(v))
+    names = f"rid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, place bigint, codes binary, rare array<string>"
+    coded = stored(docs.select("rid", "doc_id", "held_out", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "rid")), "text").alias("place"), _raw()).mapInArrow(_coder(vb), names), "codes")
+    return v, fitted(v, vb, coded.filter("NOT held_out").select("place", "codes")), counts, coded
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     Reads doc_id and text. Null and empty texts are one end. Repeated rows and
     null ids are documents of their own. Without training documents every token
-    is unseen: base_score is 0 then, and the network keeps its start.
+    is unseen: base_score is 0 then, and the network keeps its start. Of words
+    of equal count all or none are known to the network and the broadcast counts.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), held_out(F.col("doc_id")).alias("held_out"))
-    v, net, counts = learnt(rows.filter("NOT held_out").select("text"))
+    v, net, counts, coded = learnt(rows)
     vb, nb = spark.sparkContext.broadcast(pickle.dumps(v)), spark.sparkContext.broadcast(net.params())
-    names = f"rid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, net double, rare array<string>"
-    parts = stored(rows.select("rid", _raw(), "doc_id", "held_out").mapInArrow(_scorer(vb, nb), names), "parts")
+    names = f"rid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, net double"
+    parts = stored(coded.select("rid", "doc_id", "held_out", "codes").mapInArrow(_scorer(vb, nb), names), "parts")
     # Words whose counts aren't broadcast meet them here; each is rare, so no key is hot.
-    rare = parts.select("rid", F.explode("rare").alias("word")).join(counts, "word").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("seen"))
+    rare = coded.select("rid", F.explode("rare").alias("word")).join(counts, "word").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("seen"))
     z = math.log10(v.total + v.distinct + 1)
     more = F.coalesce("more", F.lit(0.0))
-    out = parts.drop("rare").join(rare, "rid", "left")
+    out = parts.join(rare, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("bigint").alias("n_known"), F.lit(v.total).cast("bigint").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * z).alias("base_score"), (F.col("net") + more).alias("score"),

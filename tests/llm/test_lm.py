@@ -168,26 +168,70 @@ def test_late_patterns_of_long_documents_are_learnt(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 60)
     filler = [f"x{i}ta" for i in range(40)]
     docs = [(i, " ".join([*(rnd.choice(filler) for _ in range(rnd.randrange(900, 1000))), "lastly", "goodbye"])) for i in range(120)]
-    v, net, _ = lm.learnt(spark.createDataFrame(docs, "rid bigint, text string"))
+    rows = spark.createDataFrame(docs, "rid bigint, text string").selectExpr("rid", "rid AS doc_id", "text", "false AS held_out")
+    v, net, _, _ = lm.learnt(rows)
     codes = lambda *words: v.codes([w.encode() for w in words])[0]
     start = lm.Network(v)
     score = lambda n: float(lm.log_likelihoods(n, v, [codes(*filler, "lastly", "goodbye")])[0] - lm.log_likelihoods(n, v, [codes(*filler, "lastly")[:-1]])[0])
     assert score(net) > score(start) + 4
 
 
-def test_training_does_not_depend_on_batch_size(network):
+def test_training_does_not_depend_on_batches_and_copies_are_apart(network):
     import pickle
     from types import SimpleNamespace
 
     import pyarrow as pa
 
     v, net = network
-    rnd = random.Random(9)
-    texts = [" ".join(rnd.choice([w.decode() for w in v.code]) for _ in range(rnd.randrange(80))).encode() for _ in range(60)]
+    r = np.random.default_rng(9)
+    docs = [np.append(r.integers(1, v.heads, r.integers(0, 80)), lm.END).astype("<i4").tobytes() for _ in range(60)]
+    copy = [0] * 25 + [3] * 35
     run = lm._trainer(SimpleNamespace(value=pickle.dumps(v)), SimpleNamespace(value=net.params()))
     outs = []
     for size in (60, 7):
-        batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + size], pa.binary())], ["text"]) for k in range(0, 60, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(copy[k : k + size], pa.int32()), pa.array(docs[k : k + size], pa.binary())], ["copy", "codes"]) for k in range(0, 60, size)]
         outs.append([b.to_pydict() for b in run(iter(batches))])
-    assert outs[0] == outs[1]
-    assert outs[0][0]["n"][0] == sum(len(t.split()) + 1 for t in texts)
+    assert outs[0] == outs[1] and [o["copy"][0] for o in outs[0]] == [0, 3]
+    assert [o["n"][0] for o in outs[0]] == [sum(len(d) // 4 for d in docs[:25]), sum(len(d) // 4 for d in docs[25:])]
+
+
+def test_same_model_for_any_layout_with_every_token_in_one_copy(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COPY_TOKENS", 1500)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    monkeypatch.setattr(lm, "HEAD", 60)
+    seen = []
+    docs = spark.createDataFrame(corpus(), "doc_id bigint, text string, score double").selectExpr("monotonically_increasing_id() AS rid", "doc_id", "text", "false AS held_out")
+    for n in (1, 5):
+        v, net, _, _ = lm.learnt(docs.repartition(n))
+        seen.append({k: p.copy() for k, p in net.params().items()})
+    assert round(v.total / 1500) > 4
+    assert all(np.array_equal(seen[0][k], seen[1][k]) for k in seen[0])
+
+
+def test_frequent_words_by_threshold(spark, monkeypatch):
+    """All words of a count or none, never more than asked, whatever the counts."""
+    n = {f"w{i}": 1 + i // 4 for i in range(80)} | {"big": 5000, "bigger": 70_001, "tie": 5003}
+    counts = spark.createDataFrame(list(n.items()), "word string, n bigint")
+    for most in (1, 3, 10, 50, 500):
+        monkeypatch.setattr(lm, "KNOWN", most)
+        got = lm._frequent(counts)
+        assert len(got) <= most and got == sorted(got, key=lambda x: (-x[1], x[0]))
+        if got:
+            assert {w for w, _ in got} == {w.encode() for w, c in n.items() if c >= got[-1][1]}
+    monkeypatch.setattr(lm, "KNOWN", 500)
+    assert len(lm._frequent(counts)) == len(n)
+
+
+def test_ties_and_a_very_long_text(spark, monkeypatch):
+    """Words of equal counts at the edge of what is known, and a text of 300,000 words, whose state runs through it."""
+    monkeypatch.setattr(lm, "KNOWN", 10)
+    monkeypatch.setattr(lm, "HEAD", 5)
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    long = " ".join(f"w{i % 30}" for i in range(300_000))
+    got = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame([(train[0], long), (train[1], "w1 w1 w2 zzz")], "doc_id bigint, text string")).collect()}
+    n, v = 300_000 + 4 + 2, 32
+    c = Counter(long.split() + "w1 w1 w2 zzz".split())
+    for i, t in ((train[0], long), (train[1], "w1 w1 w2 zzz")):
+        want = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t.split()) + math.log10(3 / (n + v + 1))
+        assert abs(got[i]["base_score"] - want) < 1e-6 * abs(want) and got[i]["n_known"] == len(t.split()) + 1 and got[i]["score"] < 0
+    assert got[train[0]]["score"] > got[train[0]]["base_score"]
