@@ -21,7 +21,9 @@ from portloom.llm.common import small, stored
 #: Rates by name, with the slack that a fence leaves at least: an upper fence is
 #: q75 + SPREAD * (q75 - q25) + slack, a lower one q25 - SPREAD * (q75 - q25) - slack.
 #: Per mille, but for word length, which is in hundredths of a character.
-SLACK = {"symbols": 100, "caps": 250, "repeats": 250, "dup_lines": 400, "word_len": 250}
+#: A source whose quartiles are equal leaves the slack alone, so each lies where a text stands out: that of
+#: repeats below the 200 at which the base rule fails a text.
+SLACK = {"symbols": 100, "caps": 50, "repeats": 100, "dup_lines": 200, "word_len": 150}
 TWO_SIDED = ("word_len",)
 SPREAD = 4
 #: Documents that a group needs for thresholds of its own.
@@ -99,7 +101,8 @@ def thresholds(rated: DataFrame) -> DataFrame:
     """
     ok = rated.filter(~F.col("_q.base_failed"))
     long = ok.select("lang", "source", F.inline(F.array(*[F.struct(F.lit(k).alias("rate"), bin_of(F.col("_q")[k]).alias("bin")) for k in SLACK])))
-    cells = long.groupBy("lang", "source", "rate", "bin").agg(F.count(F.lit(1)).alias("n"))
+    cells = stored(long.groupBy("lang", "source", "rate", "bin").agg(F.count(F.lit(1)).alias("n")), "cells")
+
     def sketch(level: int, *keys: str) -> DataFrame:
         by = cells if level == 2 else cells.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
         cols = [F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("s"), F.sum("n").alias("total")]

@@ -50,6 +50,28 @@ def test_measures_and_verdicts(spark):
     assert sum(kept[i] for i in clean) >= 0.99 * len(clean)
 
 
+def test_each_rate_rejects_what_stands_out(spark):
+    """Two hundred plain documents, and one for each rate that stands out by it alone and passes the base rule."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(5))
+    prose = lambda n: [word() for _ in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    data = [(i, lines(prose(100)), "en", "s", "x", 1) for i in range(200)]
+    p = prose(100)
+    odd = {
+        "symbols": " ".join(w + "$" if i % 4 == 0 else w for i, w in enumerate(p)),
+        "caps": " ".join(w.upper() if i % 5 == 0 else w for i, w in enumerate(p)),
+        "repeats": " ".join(p + p[:8]),
+        "dup_lines": lines(p) + "\none two" * 6,
+        "word_len": " ".join(w * 3 for w in p),
+    }
+    data += [(1000 + k, t, "en", "s", "x", 1) for k, t in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(data, SCHEMA)).collect()}
+    for k, name in enumerate(odd):
+        assert not got[1000 + k]["base_failed"] and not got[1000 + k]["kept"], name
+    assert all(got[i]["kept"] for i in range(200))
+
+
 def test_bins():
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
