@@ -143,7 +143,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 MIXING_CTE = r"""
 ms AS (
   SELECT row_number() OVER () AS rid, *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM @docs@
+         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) || substr(md5(coalesce(text, '')), 1, 15) AS h FROM @docs@
 ), tot AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM ms GROUP BY source
 ), wt AS (
@@ -157,17 +157,15 @@ ms AS (
   SELECT source, source_size, CASE WHEN 3 * source_size / w <= level THEN (3 * source_size)::DOUBLE ELSE w * level END AS target FROM wt, lvl
 ), gb AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS budget FROM goal
-), hs AS (
-  SELECT source, h, sum(size) AS n FROM ms GROUP BY source, h
 ), ru AS (
-  SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM hs
+  SELECT rid, source, size, row_number() OVER o AS k, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM ms WINDOW o AS (PARTITION BY source ORDER BY h, rid)
 ), edge AS (
-  SELECT gb.source, max(h) AS h, arg_max(upto, h) AS upto, arg_max(n, h) AS n, any_value(budget) AS budget FROM ru JOIN gb ON ru.source IS NOT DISTINCT FROM gb.source WHERE upto - n <= budget GROUP BY gb.source
+  SELECT gb.source, max(k) AS k, arg_max(upto, k) AS upto, arg_max(size, k) AS n, any_value(budget) AS budget FROM ru JOIN gb ON ru.source IS NOT DISTINCT FROM gb.source WHERE upto - size <= budget GROUP BY gb.source
 ), th AS (
-  SELECT source, CASE WHEN upto - budget < budget - (upto - n) THEN h + 1 ELSE h END AS below FROM edge
+  SELECT source, CASE WHEN upto - budget < budget - (upto - n) THEN k + 1 ELSE k END AS below FROM edge
 ), mixed AS (
-  SELECT ms.*, gb.source_size, gb.target, least(3, gb.whole + CASE WHEN h < below THEN 1 ELSE 0 END)::BIGINT AS times
-  FROM ms JOIN gb ON ms.source IS NOT DISTINCT FROM gb.source JOIN th ON ms.source IS NOT DISTINCT FROM th.source
+  SELECT ms.*, gb.source_size, gb.target, least(3, gb.whole + CASE WHEN ru.k < below THEN 1 ELSE 0 END)::BIGINT AS times
+  FROM ms JOIN ru USING (rid) JOIN gb ON ms.source IS NOT DISTINCT FROM gb.source JOIN th ON ms.source IS NOT DISTINCT FROM th.source
 )"""
 _OP7 = "WITH " + MIXING_CTE.replace("@docs@", "documents") + """
 SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken FROM mixed

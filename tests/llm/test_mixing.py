@@ -46,6 +46,28 @@ def test_targets_and_taken(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
 
 
+def test_equal_ids_and_equal_rows_are_told_apart(spark):
+    """A source whose rows share one id or none still meets its target to within one document."""
+    rows = [(None, f"w{i} " * 3, "a") for i in range(400)] + [(5, "same text here", "a") for i in range(300)] + [(i, "x " * 7, "b") for i in range(50)] + [(9000 + i, "y z", "c") for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == len(rows)
+    by = Counter()
+    for r in got:
+        by[r["source_size"], r["target"]] += r["taken"]
+    assert len(by) == 3 and all(abs(t - goal) <= 7 for (_, goal), t in by.items())
+
+
+def test_many_sources_are_ranked_in_ranges(spark):
+    rows = [(i, "w " * (1 + i % 5), None if i % 97 == 0 else f"host{i % 331:04d}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = shares(dict(sizes))
+    got = {r["source"]: r["target"] for r in mixing.targets(docs.select("source", mixing.size_of(docs["text"]).alias("size"))).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_copies_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 9), (2, "c d e", None, 9)], "doc_id bigint, text string, source string, _times int")
     assert mixing.replicated(docs).columns == docs.columns
