@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portloom.llm.common import shared_dir, stored
+from portloom.llm.common import shared_dir, small, stored
 
 UNIT, QGRAM = 200, 24
 WINDOW = UNIT - QGRAM + 1
@@ -40,6 +40,8 @@ BLOCK, PLACE = 1 << 20, (1 << 21) - 1
 #: Bytes of runs refined at a time, if whole buckets allow.
 REFINED = 4 << 20
 HOT = 50_000
+#: Rows of one key from which they aren't shuffled to it; a table has as many such keys as it has rows over this.
+HEAVY = 5_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -266,14 +268,35 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _digests(text: Column) -> tuple[Column, Column]:
+    """The two halves of a text's MD5 as signed numbers."""
+    d = F.md5(text)
+    return tuple(F.conv(F.substring(d, at, 16), 16, -10).cast("bigint") for at in (1, 17))
+
+
 def _keys(docs: DataFrame) -> DataFrame:
-    """Two 64-bit hashes stand for each text; equal texts are one text with copies."""
+    """A digest of 128 bits stands for each text; equal texts are one text with copies."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("text", t).withColumn("k1", F.xxhash64(t)).withColumn("k2", F.xxhash64(t, F.lit(1)))
+    k1, k2 = _digests(t)
+    return docs.withColumn("text", t).withColumn("k1", k1).withColumn("k2", k2)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Different texts with the number of documents that have them, bucketed by their keys in the shared folder.
+def _met(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose ``on`` is among ``keys`` (each once, with the number ``n`` of its rows), with the keys' other columns.
+
+    Keys of more than HEAVY rows, of which there are few, are broadcast and
+    their rows stay where they are; only rows of other keys are shuffled.
+    """
+    heavy, light = stored(keys.filter(F.col("n") > HEAVY), "heavy"), keys.filter(F.col("n") <= HEAVY)
+    if not heavy.limit(1).count():
+        return rows.join(keys.drop("n"), on)
+    known = small(heavy.drop("n"))
+    rest = rows.join(small(heavy.select(*on)), on, "left_anti")
+    return rows.join(known, on).unionByName(rest.join(light.drop("n"), on))
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Different texts with the number of documents that have them, bucketed by their keys in the shared folder, and the table's name.
 
     Bucketed, they are joined three times below and shuffled once.
     """
@@ -283,7 +306,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     name = f"portloom_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, "k1", "k2").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def repeated(texts: DataFrame, hot: int = HOT) -> DataFrame:
@@ -292,14 +315,14 @@ def repeated(texts: DataFrame, hot: int = HOT) -> DataFrame:
     every = texts.filter("octet_length(text) >= 200").select(*keys, "text")
     anchors = stored(every.mapInArrow(_anchors, "k1 bigint, k2 bigint, h bigint, pack bigint"), "anchors")
     # Buckets of one run end here.
-    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    own = stored(anchors.join(shared, "h").groupBy(*keys).agg(F.collect_list(F.struct("h", "pack")).alias("own")), "shared")
+    shared = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor_counts")
+    own = stored(_met(anchors, shared, ["h"]).groupBy(*keys).agg(F.collect_list(F.struct("h", "pack")).alias("own")), "shared")
     found = stored(texts.select(*keys, "text").join(own, keys).mapInArrow(_contexts, "k1 bigint, k2 bigint, h bigint, pack bigint, ctx bigint"), "contexts")
     # One run for each different content, with how often it occurs.
     different = stored(found.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*keys, "pack"), F.col("pack")).alias("at")), "different")
-    whole = found.join(different.filter("n > 1").select("h", "ctx"), ["h", "ctx"]).select(*keys, "pack", F.lit(0).alias("lo"), F.col("pack").bitwiseAND(F.lit(255)).cast("int").alias("hi"))
-    unsettled = different.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").select("h", "m")
-    todo = different.join(unsettled, "h").select("h", "n", "at.*", (F.col("m") > hot).alias("hot"))
+    whole = _met(found, different.filter("n > 1").select("h", "ctx", "n"), ["h", "ctx"]).select(*keys, "pack", F.lit(0).alias("lo"), F.col("pack").bitwiseAND(F.lit(255)).cast("int").alias("hi"))
+    unsettled = stored(different.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least")).filter("n > 1 AND least = 1").select("h", "n", F.col("n").alias("m")), "unsettled_anchors")
+    todo = _met(different, unsettled, ["h"]).select("h", "n", "at.*", (F.col("m") > hot).alias("hot"))
     todo = stored(todo.groupBy(*keys, "hot").agg(F.collect_list(F.struct("h", "pack", "n")).alias("own")), "unsettled")
 
     def bytes_of(rows: DataFrame) -> DataFrame:
@@ -323,7 +346,7 @@ def trimmed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     each repeats the others. Repeated rows and null ids count as documents.
     """
     keyed = _keys(docs.select("doc_id", "text"))
-    texts = _texts(keyed)
+    texts, name = _texts(keyed)
     spans = repeated(texts, hot)
     per = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("pack", "lo", "hi")).alias("own"))
     kept = texts.filter("copies = 1 OR octet_length(text) < 200").select("k1", "k2", "text").join(per, ["k1", "k2"], "left")
@@ -331,7 +354,10 @@ def trimmed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     copies = texts.filter("copies > 1 AND octet_length(text) >= 200")
     n = F.octet_length("text").cast("bigint")
     gone = copies.select("k1", "k2", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
-    return keyed.select("doc_id", "k1", "k2").join(left.union(gone), ["k1", "k2"]).drop("k1", "k2")
+    out = keyed.select("doc_id", "k1", "k2").join(left.union(gone), ["k1", "k2"]).drop("k1", "k2")
+    # The plan holds the files; the catalog need not keep their name.
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return out
 
 
 def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:

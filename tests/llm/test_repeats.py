@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from portloom.llm import repeats
 
@@ -51,6 +52,26 @@ def test_matches_brute_force(spark, hot):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((str(i if i % 7 else None), *w) for i, w in enumerate(want))
 
 
+def test_texts_of_equal_half_digests_stay_apart(spark, monkeypatch):
+    """Neither half of the digest stands for a text alone."""
+    real = repeats._digests
+    texts = cases()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = sorted((i, *w) for i, w in enumerate(plain(texts)))
+    for half in (0, 1):
+        monkeypatch.setattr(repeats, "_digests", lambda t, half=half: tuple(F.lit(7).cast("bigint") if i == half else d for i, d in enumerate(real(t))))
+        assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeats(docs).collect()) == want
+
+
+def test_heavy_anchors_and_no_table_left(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HEAVY", 3)
+    texts = cases() + ["z" * 260 + str(i) for i in range(30)]
+    before = {t.name for t in spark.catalog.listTables()}
+    got = repeats.repeats(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == sorted((i, w[1], w[3]) for i, w in enumerate(plain(texts)))
+
+
 def test_blocks_and_long_texts(spark, monkeypatch):
     rnd = random.Random(3)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(9000))
