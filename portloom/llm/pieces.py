@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Longest chunk whose ids are kept, chunks kept in each of two generations, and pairs of pieces kept, by each Python worker: some 110 MB.
-KEPT_LENGTH, KEPT_CHUNKS, KEPT_PAIRS = 48, 200_000, 300_000
+#: Longest chunk whose ids are kept, chunks kept in each of two generations, and pairs of pieces kept, by each Python worker: some 90 MB while a task runs, 50 MB after it.
+KEPT_LENGTH, KEPT_CHUNKS, KEPT_PAIRS = 48, 150_000, 250_000
 #: Places between two looks for a common boundary in a long chunk.
 LOOK = 64
 _CHUNK = re.compile(r"\n+| *[^ \n]+| +")
@@ -198,6 +198,10 @@ class Pieces:
         self.chunks[chunk] = got
         return got
 
+    def forget(self) -> None:
+        """Lets the chunks go; a worker that waits for its next task, perhaps of another operator, holds the model and the pairs only."""
+        self.chunks, self.older = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; none for null or empty."""
         out: list[int] = []
@@ -263,6 +267,7 @@ def encoded(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(sizes.astype(np.int64)), ids, pa.array(same)], names)
+        p.forget()
 
     src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
     names = [*src.columns[:n], "n_tokens", "ids", "round_trip"]
