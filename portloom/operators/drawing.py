@@ -24,7 +24,7 @@ def svg(kind: Column, n_ports: Column, radius: int = 50, port_radius: int = 30,
 
     def port(k: Column) -> Column:
         angle = k * 2 * F.pi() / n_ports
-        x, y = (F.format_number(100 + distance * f(angle), "0.###") for f in (F.cos, F.sin))
+        x, y = (F.round(100 + distance * f(angle), 3).cast("string") for f in (F.cos, F.sin))
         return F.concat(circle(x, y, port_radius, "orange"), F.lit("\n"), label(x, y, 15, k.cast("string")))
 
     safe = F.replace(F.replace(kind, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))

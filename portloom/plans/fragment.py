@@ -119,7 +119,7 @@ def exact_covers(m: Molecule, groups: Sequence[Group]) -> list[list[tuple[str, t
 def fragments(molecules: DataFrame, groups: Sequence[Group], on_fail: str = "remove") -> DataFrame:
     """(smiles, cover, n_groups, histogram) for each exact cover of each molecule, fewest groups first.
 
-    A molecule without a cover gives no row (``remove``), a row with cover null
+    A molecule without a cover, or a text that can't be read, gives no row (``remove``), a row with cover null
     (``keep``), or stops the query (``error``). Each molecule is worked in one
     kernel; molecules are small and there are many.
     """
@@ -130,7 +130,10 @@ def fragments(molecules: DataFrame, groups: Sequence[Group], on_fail: str = "rem
         for b in batches:
             rows = []
             for s in b.column(0).to_pylist():
-                covers = exact_covers(parse(s), groups) if s else []
+                try:
+                    covers = exact_covers(parse(s), groups) if s else []
+                except ParseError:
+                    covers = []
                 if not covers and on_fail == "error":
                     raise FragmentationError(f"no cover of {s!r}")
                 rows += [(s, k, len(c), [t for t, _, _ in c]) for k, c in enumerate(covers)] or ([(s, None, None, None)] if on_fail == "keep" else [])
@@ -286,7 +289,8 @@ def laid_out(molecules: DataFrame, queries: Sequence[str], incomplete: str = "re
     """(smiles, result, chosen, queries, n_groups, n_edges, n_left) for each molecule and each way to lay the queries over it.
 
     ``incomplete`` says what happens to results that leave atoms: ``remove``,
-    ``keep``, or ``raise error``. Null and empty molecules give no rows.
+    ``keep``, or ``raise error``. Null, empty and unreadable texts give no rows
+    (with ``raise error`` the last stop the query).
     """
     if incomplete not in ("remove", "keep", "raise error"):
         raise ValueError(f"unknown handling {incomplete!r}")
@@ -297,7 +301,12 @@ def laid_out(molecules: DataFrame, queries: Sequence[str], incomplete: str = "re
             for s in b.column(0).to_pylist():
                 if not s:
                     continue
-                m, k = parse(s), 0
+                try:
+                    m, k = parse(s), 0
+                except ParseError as e:
+                    if incomplete == "raise error":
+                        raise FragmentationError(str(e)) from e
+                    continue
                 for state in fragment_states(m, queries, sorter, mode):
                     left = len(m.elements) - sum(len(atoms) for _, atoms in state)
                     if left and incomplete == "raise error":

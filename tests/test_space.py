@@ -62,3 +62,72 @@ def test_weighted_paths_of_many_steps(spark):
     edges = spark.createDataFrame([(i, j, w) for (i, j), w in arcs.items()] + [(20, 21, 1.0)], "i bigint, j bigint, weight double")
     assert sorted(tuple(r["path"]) for r in space.weighted_shortest_paths(edges, 0, 7).collect()) == want
     assert space.weighted_shortest_paths(edges, 0, 21).count() == 0
+
+
+def test_communities_by_plain_merging(spark):
+    rnd = random.Random(5)
+    pairs = sorted({(min(a, b), max(a, b)) for g in range(4) for _ in range(22) for a, b in [rnd.sample(range(8 * g, 8 * g + 8), 2)]} | {(7, 8), (15, 16), (23, 24)})
+
+    def quality(part):
+        m = len(pairs)
+        return sum(sum(i in c and j in c for i, j in pairs) / m - (sum((i in c) + (j in c) for i, j in pairs) / (2 * m)) ** 2 for c in part)
+
+    part = [{v} for v in sorted({x for p in pairs for x in p})]
+    while True:
+        best = max(((quality([c for c in part if c not in (a, b)] + [a | b]) - quality(part), -min(a), -min(b), a, b) for a, b in itertools.combinations(part, 2) if any((i in a and j in b) or (i in b and j in a) for i, j in pairs)), default=None)
+        if best is None or best[0] <= 1e-12:
+            break
+        part = [c for c in part if c not in best[3:]] + [best[3] | best[4]]
+    got = space.communities(spark.createDataFrame([("g", i, j) for i, j in pairs], "g string, i bigint, j bigint")).collect()
+    sets = {}
+    for r in got:
+        sets.setdefault(r["community"], set()).add(r["id"])
+    assert abs(quality(list(sets.values())) - quality(part)) < 1e-9 and all(min(s) == c for c, s in sets.items())
+    m = space.modularity(spark.createDataFrame([(i, j, 0.5) for i, j in pairs], "i bigint, j bigint, weight double"), spark.createDataFrame([(r["id"], r["community"]) for r in got], "id bigint, community bigint"), [0.1, 0.9]).collect()
+    assert len(m) == 1 and abs(m[0]["modularity"] - quality(part)) < 1e-9
+
+
+def test_betweenness_in_blocks(spark):
+    rnd = random.Random(2)
+    pairs = sorted({tuple(sorted(rnd.sample(range(20), 2))) for _ in range(40)})
+    e = spark.createDataFrame([("g", i, j) for i, j in pairs], "g string, i bigint, j bigint")
+    one, many = ({r["id"]: r["betweenness"] for r in space.betweenness(e, b).collect()} for b in (1, 5))
+    assert one.keys() == many.keys() and all(abs(one[v] - many[v]) < 1e-9 for v in one)
+
+
+def test_kernels_zero_vectors_and_points(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], "id bigint, v array<double>")
+    assert {(r["i"], r["j"]) for r in space.similarity_edges(v, 0.5).collect()} == {(0, 1)}
+    assert {(r["i"], r["j"]) for r in space.similarity_edges(v, -1.5, kernel=lambda a, b: -((a[:, None] - b[None]) ** 2).sum(axis=2)).collect()} == {(0, 1)}
+    assert abs(space.diversity(v).first()["diversity"] - 2 / 3) < 1e-12
+    assert space.diversity(v.limit(1)).first()["diversity"] is None and space.diversity(v.limit(0)).first()["diversity"] is None
+    n = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), ("b", 1, "y"), ("c", 0, "z")], "graph_id string, node_id int, type string")
+    e = spark.createDataFrame([("a", 0, 0, 0, 1, 0), ("b", 0, 0, 0, 1, 0)], "graph_id string, edge_seq int, src int, src_port int, dst int, dst_port int")
+    assert [(r["i"], r["j"], round(r["weight"], 9)) for r in space.wl_kernel(n, e, 2).collect()] == [("a", "b", 1.0)]
+    p = space.signed_permutations(spark.createDataFrame([(0, [1.0, 2.0, 0.0])], "id bigint, values array<double>"))
+    want = {q for s in itertools.product((1, -1), repeat=2) for q in itertools.permutations((s[0] * 1.0, s[1] * 2.0, 0.0))}
+    assert {(r["x"], r["y"], r["z"]) for r in p.collect()} == want
+    cube = [(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(itertools.product((0, 1), repeat=3))]
+    assert space.radius_edges(spark.createDataFrame(cube, "id bigint, x double, y double, z double"), 1.0, 0.1, 1e-5).count() == 12
+    line = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(5)], "id bigint, v array<double>")
+    c = [r["components"] for r in space.projected(line, 1).orderBy("id").collect()]
+    assert all(abs(abs(b[0] - a[0]) - 5**0.5) < 1e-9 for a, b in itertools.pairwise(c))
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40)], "i bigint, j bigint")
+    got = {r["id"]: r["component"] for r in space.components(spark.createDataFrame([(i,) for i in [*range(31), 40, 50, 99]], "id bigint"), e).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 40: 40, 50: 40, 99: 99}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from portloom import storage
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
