@@ -4,7 +4,9 @@ A document is a bag of sentences. A sentence's score is logistic in its words
 and in their first and last letters (insults are also built from stems); a
 document's is the noisy-or of its sentences, 1 - prod(1 - p). Labels belong to
 documents only: the gradient of the document's likelihood reaches its sentences
-through the noisy-or, which is how the offending ones are found.
+through the noisy-or, which is how the offending ones are found. Sentences
+without a chosen feature say nothing; together they are one leak of the
+noisy-or, the same for a document of one sentence and one of thousands.
 
 Features are chosen by a chi-square test on document counts, and weights are
 fitted on the driver, both on a bounded sample of labelled rows (``SAMPLE``); what
@@ -84,17 +86,16 @@ def _encoder(words: dict[str, int]):
                 text = x.as_py() or ""
                 rows.append([[i for w in sentence_words(text[s:e]) for f in features(w) if (i := words.get(f)) is not None] for s, e in sentences(text)])
             filled = [[s for s in r if s] for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(r) for r in rows], pa.int32()), pa.array(filled, pa.list_(pa.list_(pa.int32())))], ["y", "n", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(filled, pa.list_(pa.list_(pa.int32())))], ["y", "s"])
 
     return run
 
 
-def _fit(y: np.ndarray, n: np.ndarray, bags: list[list[list[int]]], k: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample; sentences without chosen words share one score."""
+def _fit(y: np.ndarray, bags: list[list[list[int]]], k: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the whole sample; each document has one leak, which scores the bias alone."""
     doc = np.array([d for d, b in enumerate(bags) for _ in b], np.int64)
     sent = np.array([i for i, s in enumerate(s for b in bags for s in b) for _ in s], np.int64)
     word = np.array([w for b in bags for s in b for w in s], np.int64)
-    plain = n - np.bincount(doc, minlength=len(y))
     theta = np.zeros(k + 1)
     theta[k] = -4.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -102,10 +103,10 @@ def _fit(y: np.ndarray, n: np.ndarray, bags: list[list[list[int]]], k: int) -> t
         w, b = theta[:k], theta[k]
         z = b + np.bincount(sent, w[word], minlength=len(doc))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
-        none = np.bincount(doc, np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, b)  # -log(1 - P)
+        none = np.bincount(doc, np.logaddexp(0, z), minlength=len(y)) + np.logaddexp(0, b)  # -log(1 - P)
         share = np.where(y == 1, -np.exp(-none) / np.maximum(-np.expm1(-none), 1e-12), 1.0)  # dloss / dnone
         gz = share[doc] * p
-        g = np.append(np.bincount(word, gz[sent], minlength=k), gz.sum() + (share * plain).sum() * p0) / max(len(y), 1)
+        g = np.append(np.bincount(word, gz[sent], minlength=k), gz.sum() + share.sum() * p0) / max(len(y), 1)
         g[:k] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -128,20 +129,18 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and its offending sentences (start, end, score)."""
-        clean, none, found, known = 0, 0.0, [], self.known
+        none, found, known = float(np.logaddexp(0, self.bias)), [], self.known
         for s, e in sentences(text):
             z = 0.0
             for w in sorted(sentence_words(text[s:e])) if e else ():
                 x = known.get(w)
                 z += self._weight(w) if x is None else x
             if z == 0.0:
-                clean += 1
                 continue
             none += float(np.logaddexp(0, self.bias + z))
             p = 1 / (1 + float(np.exp(-(self.bias + z))))
             if p >= THRESHOLD:
                 found.append((s, e, p))
-        none += clean * float(np.logaddexp(0, self.bias))
         return float(-np.expm1(-none)), found
 
 
@@ -153,8 +152,9 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # `sample` rows of two numbers.
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").repartition(16), "labelled")
+    # `sample` rows of two numbers; of rows that share an id the least text counts, so the sample keeps its bound.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = stored(rows.select("text", "y").repartition(16), "labelled")
     count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = count.get(1, 0), count.get(0, 0)
     if not pos or not neg:
@@ -167,16 +167,18 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = rows.mapInArrow(_bags, "word string, pos bigint, neg bigint").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     best = counts.filter((a + c >= LEAST_DOCS) & (a + c < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(FEATURES)
     words = {r["word"]: i for i, r in enumerate(best.collect())}
-    data = rows.mapInArrow(_encoder(words), "y int, n int, s array<array<int>>").toPandas()
+    data = rows.mapInArrow(_encoder(words), "y int, s array<array<int>>").toPandas()
     bags = [[list(s) for s in b] for b in data["s"]]
-    weights, bias = _fit(data["y"].to_numpy(), data["n"].to_numpy(), bags, len(words))
+    weights, bias = _fit(data["y"].to_numpy(), bags, len(words))
     return Model({w: float(weights[i]) for w, i in words.items() if abs(weights[i]) > 1e-3}, bias)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences of every row.
 
-    Null and empty texts are one empty sentence. Repeated rows stay. Only doc_id
+    Null and empty texts have the leak alone. A document of thousands of
+    sentences gets more than a short one only by sentences that have chosen
+    features. Repeated rows stay. Only doc_id
     and text are read, and only the text enters the score. The model is at most
     ``FEATURES`` weights, whatever the corpus.
     """

@@ -47,3 +47,42 @@ def test_noisy_or():
     p, q = 1 / (1 + np.exp(-1.0)), 1 / (1 + np.exp(2.0))
     assert abs(s - (1 - (1 - p) ** 2 * (1 - q))) < 1e-12
     assert [(a, b) for a, b, _ in found] == [(0, 9), (19, 27)]
+
+
+def test_plain_sentences_do_not_lift_long_documents():
+    m = toxicity.Model({"bad": 3.0}, -2.0)
+    long = "nothing here. " * 50_000
+    assert m.score(long)[0] == m.score("nothing here")[0] == m.score("")[0] == m.score(None)[0]
+    s, found = m.score(long + "bad. " + long)
+    assert abs(s - m.score("bad")[0]) < 1e-12 and [(a, b) for a, b, _ in found] == [(len(long) - 1, len(long) + 3)]
+
+
+def test_fit_is_the_least_of_the_plain_loss():
+    """Written out by definition, the loss only grows when a weight or the bias is moved."""
+    rnd = random.Random(4)
+    bags = [[[rnd.randrange(4) for _ in range(rnd.randrange(1, 3))] for _ in range(rnd.randrange(4))] for _ in range(300)]
+    y = np.array([int(any(0 in s for s in b) and rnd.random() < 0.9 or rnd.random() < 0.05) for b in bags])
+    w, bias = toxicity._fit(y, bags, 4)
+
+    def loss(w, bias):
+        total = 0.0
+        for t, b in zip(y, bags, strict=True):
+            clean = 1 / (1 + np.exp(bias))
+            for s in b:
+                clean *= 1 / (1 + np.exp(bias + sum(w[i] for i in s)))
+            total -= np.log(1 - clean if t else clean)
+        return total / len(y) + toxicity.DECAY / 2 * float(w @ w)
+
+    best = loss(w, bias)
+    for k in range(5):
+        for step in (-0.3, 0.3):
+            moved = w.copy()
+            if k < 4:
+                moved[k] += step
+            assert loss(moved, bias + step * (k == 4)) > best
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    d = spark.createDataFrame([(1, "bad thing"), (1, "bad thing"), (1, None), (2, "good thing")] * 20, "doc_id bigint, text string")
+    y = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    assert toxicity.toxicity(d, y).count() == 80
