@@ -212,12 +212,12 @@ def ego_networks(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select("id", size.alias("n_nodes"), links.alias("n_edges"), density.alias("density"), F.when(F.col("d") > 0, 2 - density).otherwise(F.lit(0.0)).alias("mean_distance"), own.alias("clustering"), ((own + F.col("c")) / size).alias("average_clustering"), F.when(F.col("d") == 0, 0).when(density >= 1, 1).otherwise(2).alias("diameter"), F.when(F.col("d") == 0, 0).otherwise(1).alias("radius"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
-    """(source, id, hops): least number of steps, by rounds of frontier joins until none is new, or up to ``most``; each round is checkpointed."""
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, id, hops): least number of steps, by rounds of frontier joins until none is new; each round is checkpointed."""
     arcs = both_ways(edges)
     seen = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"))
     front, k = seen, 0
-    while most is None or k < most:
+    while True:
         k += 1
         step = front.select("source", F.col("id").alias("a")).join(arcs, "a").select("source", F.col("b").alias("id")).distinct()
         front = checkpointed(step.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(k)))
@@ -227,32 +227,18 @@ def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) ->
     return seen
 
 
-def closeness(edges: DataFrame, sources: DataFrame, n: int, most: int | None = None, blocks: int = 1) -> DataFrame:
+def closeness(edges: DataFrame, sources: DataFrame, n: int, blocks: int = 1) -> DataFrame:
     """Closeness by reach: (r - 1) / sum of distances * (r - 1) / (n - 1), with r nodes reached; sources are taken in ``blocks``, one after another."""
     parts = []
     for k in range(blocks):
         some = sources.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else sources
-        d = distances(edges, some, most).groupBy("source").agg(F.sum("hops").alias("s"), (F.count(F.lit(1)) - 1).alias("r"))
+        d = distances(edges, some).groupBy("source").agg(F.sum("hops").alias("s"), (F.count(F.lit(1)) - 1).alias("r"))
         parts.append(checkpointed(d) if blocks > 1 else d)
     d = functools.reduce(DataFrame.unionByName, parts)
     return d.select(F.col("source").alias("id"), F.when(F.col("s") > 0, F.col("r") / F.col("s") * F.col("r") / F.lit(float(max(n - 1, 1)))).otherwise(F.lit(0.0)).alias("closeness"))
 
 
-def shortest_paths(edges: DataFrame, source: int, target: int, most: int) -> DataFrame:
-    """All least-hop paths from source to target, as arrays; partial paths off the least distance never grow."""
-    arcs = both_ways(edges)
-    ids = edges.sparkSession.createDataFrame([(source,)], "id bigint")
-    d = checkpointed(distances(edges, ids, most).select("id", "hops"))
-    end = d.filter(F.col("id") == target).first()
-    paths = ids.select(F.array("id").alias("path"), "id")
-    if end is None:
-        return paths.limit(0).select("path")
-    for k in range(1, end["hops"] + 1):
-        paths = paths.withColumnRenamed("id", "a").join(arcs, "a").join(d.filter(F.col("hops") == k).select(F.col("id").alias("b")), "b").select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("id"))
-    return paths.filter(F.col("id") == target).select("path")
-
-
-def weighted_shortest_paths(edges: DataFrame, source: int, target: int) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: int, target: int) -> DataFrame:
     """All paths of least weight from source to target, as arrays; edges (i, j, weight) with weights above 0.
 
     Distances are relaxed until none changes, with no bound on steps; paths then

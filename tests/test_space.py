@@ -60,8 +60,8 @@ def test_weighted_paths_of_many_steps(spark):
     want = sorted(p for t, p in found if t == best)
     assert len(want) > 1 and max(map(len, want)) == 8
     edges = spark.createDataFrame([(i, j, w) for (i, j), w in arcs.items()] + [(20, 21, 1.0)], "i bigint, j bigint, weight double")
-    assert sorted(tuple(r["path"]) for r in space.weighted_shortest_paths(edges, 0, 7).collect()) == want
-    assert space.weighted_shortest_paths(edges, 0, 21).count() == 0
+    assert sorted(tuple(r["path"]) for r in space.shortest_paths(edges, 0, 7).collect()) == want
+    assert space.shortest_paths(edges, 0, 21).count() == 0
 
 
 def test_communities_by_plain_merging(spark):
