@@ -12,20 +12,25 @@ from portloom.storage import shared_dir
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: For str.translate: lower-cases A-Z and nothing else.
-LOWER_AZ = str.maketrans(UPPER, LOWER)
-#: For str.translate: every separator becomes a plain space, so that str.split(" ") finds the words.
-TO_SPACE = {c: " " for c in (9, 10, 11, 12, 13)}
+
+
+def raw_of(text: str) -> bytes:
+    """UTF-8 of a text, lone surrogates too."""
+    return text.encode("utf-8", "surrogatepass")
+
+
+def lower_ascii(text: str) -> str:
+    """Lower-cases A-Z and nothing else, as bytes do."""
+    return raw_of(text).lower().decode("utf-8", "surrogatepass")
 
 
 def words_of(text: str | None) -> list[str]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none of a null.
 
-    ``str.split()`` alone would also cut at Unicode spaces and at 0x1C-0x1F.
+    Bytes split at just these characters; ``str.split()`` would also cut at
+    Unicode spaces and at 0x1C-0x1F.
     """
-    if not text:
-        return []
-    return [w for w in text.translate(TO_SPACE).split(" ") if w]
+    return [w.decode("utf-8", "surrogatepass") for w in raw_of(text).split()] if text else []
 
 
 def lower_az(col: Column) -> Column:

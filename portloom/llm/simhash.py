@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portloom.llm.common import LOWER_AZ, stored, words_of
+from portloom.llm.common import raw_of, stored
 from portloom.llm.components import roots
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -49,19 +49,19 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return out.reshape(64)
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned fingerprint of a whole text; 0 for a text without words."""
-    words = words_of(text.translate(LOWER_AZ)) if text else []
+def fingerprint(text: str | bytes | None) -> int:
+    """Unsigned fingerprint of a whole text or its UTF-8; 0 for a text without words. Bytes lower-case A-Z only and split at the words' separators only."""
+    words = (raw_of(text) if isinstance(text, str) else text).lower().split() if text else []
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
     if len(words) < SHINGLE:
-        return digest(" ".join(words), SEED)
+        return digest(b" ".join(words), SEED)
     n = len(words) - SHINGLE + 1
     votes = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         part = words[at : at + BLOCK + SHINGLE - 1]
-        found = [digest(f"{a} {b} {c}", SEED) for a, b, c in zip(part, part[1:], part[2:], strict=False)]
+        found = [digest(b"%b %b %b" % (a, b, c), SEED) for a, b, c in zip(part, part[1:], part[2:], strict=False)]
         votes += _votes(np.array(found, np.uint64))
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
@@ -75,7 +75,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, key: str) -> DataFrame:
     """(id, fp) for every row; ``fp`` as a signed long."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), "text").mapInArrow(_fingerprints, f"id {kind}, fp bigint")
+    return docs.select(F.col(key).alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp bigint")
 
 
 def _half(fp: Column, side: int) -> Column:
