@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from portloom.llm.common import stored
 
 #: Words the network knows one by one; words whose counts are broadcast (the rest are joined). Both are fixed, whatever the corpus.
-HEAD, KNOWN = 1024, 120_000
-HEAD_CLASSES, TAIL_CLASSES = 16, 50
-HIDDEN, STEPS, LANES, FIRST_LANES = 16, 16, 128, 4
-#: Training tokens of a copy of the network, about; documents that a task sorts by length at a time.
-COPY_TOKENS, CHUNK = 2_000_000, 1024
-RATE = 0.06
+HEAD, KNOWN = 512, 120_000
+HEAD_CLASSES, TAIL_CLASSES = 10, 50
+HIDDEN, STEPS, LANES, FIRST_LANES = 16, 24, 160, 4
+#: Training tokens of a copy of the network, about; documents that are sorted by length at a time, most of a copy's.
+COPY_TOKENS, CHUNK = 2_000_000, 16_384
+#: Documents, and tokens, scored at a time.
+SCORED_DOCS, SCORED_TOKENS = 8192, 4_000_000
+RATE = 0.08
 #: Copies of the network that one task averages.
 FAN_IN = 16
 END = 0
@@ -76,7 +78,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x in b.column(0):
             n.update(tokens(x.as_py()))
-            if len(n) > 300_000:
+            if len(n) > 500_000:
                 yield out(n)
                 n = Counter()
     if n:
@@ -179,11 +181,12 @@ class Network:
         logits -= logits.max(axis=1, keepdims=True)
         e = np.exp(logits)
         s = e.sum(axis=1)
-        out = logits[np.arange(m), cls] - np.log(s)
+        every = np.arange(m)
+        out = logits[every, cls] - np.log(s)
         dh = gs = None
         if grad:
             e /= s[:, None]
-            e[np.arange(m), cls] -= 1
+            e[every, cls] -= 1
             dh = e @ self.class_w
             gs = {"class_w": e.T @ hs, "class_b": e.sum(axis=0), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b)}
         order = np.argsort(cls, kind="stable")
@@ -317,23 +320,27 @@ def log_likelihoods(net: Network, v: Vocabulary, docs: list[np.ndarray], lanes:
     by = np.argsort(-fill, kind="stable")
     own, fill = [i for k in by for i in own[k]], fill[by]
     sizes = np.array([len(docs[i]) for i in own])
-    codes, doc = np.concatenate([docs[i] for i in own]), np.repeat(own, sizes)
+    codes, doc = np.concatenate([docs[i] for i in own]).astype(np.int32), np.repeat(np.array(own, np.int32), sizes)
     start = np.zeros(len(codes), bool)
     start[np.cumsum(sizes) - sizes] = True
-    before = np.append(END, codes[:-1])
+    before = np.append(np.int32(END), codes[:-1])
     before[start] = END
-    x, cls, word = v.inputs(before), v.classes(codes), np.where((codes >= 0) & (codes < v.heads), codes, -1)
+    x, cls, word = v.inputs(before).astype(np.int32), v.classes(codes).astype(np.int32), np.where((codes >= 0) & (codes < v.heads), codes, -1)
     offset = np.cumsum(fill) - fill
-    h, lp = np.zeros((lanes, HIDDEN), np.float32), np.empty(len(codes))
+    h, lp = np.zeros((lanes, HIDDEN), np.float32), np.empty(len(codes), np.float32)
     for t in range(0, int(fill[0]), steps):
         live = int((fill > t).sum())
         place = np.arange(t, t + steps)[:, None]
-        ok = place < fill[:live]
-        at = np.where(ok, offset[:live] + place, 0)
-        hs, _ = net.states(x[at], start[at] & ok, h[:live])
-        h = hs[-1]
-        at = at[ok]
-        lp[at] = net.log_probs(hs[ok], cls[at], word[at])
+        at = offset[:live] + place
+        if fill[live - 1] < t + steps:
+            ok = place < fill[:live]
+            at = np.where(ok, at, 0)
+            hs, _ = net.states(x[at], start[at] & ok, h[:live])
+            h, hs, at = hs[-1], hs[ok], at[ok]
+        else:
+            hs, _ = net.states(x[at], start[at], h[:live])
+            h, hs, at = hs[-1], hs.reshape(-1, HIDDEN), at.reshape(-1)
+        lp[at] = net.log_probs(hs, cls[at], word[at])
     return np.bincount(doc, lp, len(docs))
 
 
@@ -357,7 +364,7 @@ def _coder(v_bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 def _unpacked(codes: pa.Array) -> Iterator[np.ndarray]:
     for x in codes:
-        yield np.frombuffer(x.as_py(), "<i4").astype(np.int64)
+        yield np.frombuffer(x.as_py(), "<i4")
 
 
 def _trainer(v_bytes, start) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -464,9 +471,16 @@ def _scorer(vb, nb) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             getattr(net, k)[...] = p
         ln10 = math.log(10)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                docs = list(_unpacked(part.column(3)))
+            at = 0
+            while at < b.num_rows:
+                part, docs, size = b.slice(at, SCORED_DOCS), [], 0
+                for c in _unpacked(part.column(3)):
+                    docs.append(c)
+                    size += len(c)
+                    if size >= SCORED_TOKENS:
+                        break
+                part = part.slice(0, len(docs))
+                at += len(docs)
                 net_part = log_likelihoods(net, v, docs) / ln10
                 known, base, tail = [], [], []
                 for c in docs:
