@@ -131,10 +131,6 @@ class Vocabulary:
         return np.where(codes >= 0, self.cls[np.maximum(codes, 0)], HEAD_CLASSES - 1 - codes)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """GRU with class-factored output. ``gates`` holds each input's share of the three gates."""
 
@@ -154,21 +150,29 @@ class Network:
 
     def states(self, x: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         """States after each step for inputs x (steps, lanes); ``start`` marks where a document begins and the state is zero."""
-        d, steps = HIDDEN, len(x)
+        d, (steps, lanes) = HIDDEN, x.shape
         g = self.gates[x]
-        hs = np.empty((steps, x.shape[1], d), np.float32)
-        kept = []
+        # Each gate in a piece of its own: z and r beside each other, then n.
+        zr_all, new = np.ascontiguousarray(g[:, :, : 2 * d]), np.ascontiguousarray(g[:, :, 2 * d :])
+        u_zr, u_n = np.ascontiguousarray(self.u[:, : 2 * d]), np.ascontiguousarray(self.u[:, 2 * d :])
+        hs, before, un = np.empty((steps, lanes, d), np.float32), np.empty_like(new), np.empty_like(new)
+        begins = start.any(axis=1)
         for t in range(steps):
-            if start[t].any():
+            if begins[t]:
                 h = h * ~start[t][:, None]
-            a = h @ self.u
-            zr = _sigmoid(g[t, :, : 2 * d] + a[:, : 2 * d])
-            z, r = zr[:, :d], zr[:, d:]
-            n = np.tanh(g[t, :, 2 * d :] + r * a[:, 2 * d :])
-            kept.append((h, z, r, n, a[:, 2 * d :]))
-            h = n + z * (h - n)
+            before[t] = h
+            zr, n = zr_all[t], new[t]
+            zr += h @ u_zr
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.matmul(h, u_n, out=un[t])
+            n += zr[:, d:] * un[t]
+            np.tanh(n, out=n)
+            h = n + zr[:, :d] * (h - n)
             hs[t] = h
-        return hs, kept
+        return hs, (before, zr_all[:, :, :d], zr_all[:, :, d:], new, un)
 
     def log_probs(self, hs: np.ndarray, cls: np.ndarray, word: np.ndarray, grad: bool = False):
         """Natural log probabilities of (class, head word) at each state; with ``grad``, the gradients of minus their sum.
@@ -177,58 +181,73 @@ class Network:
         these it gives the class only.
         """
         m = len(hs)
-        logits = hs @ self.class_w.T + self.class_b
+        logits = hs @ self.class_w.T
+        logits += self.class_b
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
         every = np.arange(m)
-        out = logits[every, cls] - np.log(s)
+        out = logits[every, cls]
+        e = np.exp(logits, out=logits)
+        s = e.sum(axis=1)
+        out -= np.log(s)
         dh = gs = None
         if grad:
             e /= s[:, None]
             e[every, cls] -= 1
             dh = e @ self.class_w
             gs = {"class_w": e.T @ hs, "class_b": e.sum(axis=0), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b)}
-        order = np.argsort(cls, kind="stable")
-        order = order[word[order] >= 0]
+        # Head words by class, so that each class is a slice.
+        order = np.flatnonzero(word >= 0)
+        order = order[np.argsort(cls[order], kind="stable")]
         bounds = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
+        own, picked = hs[order], word[order]
+        chosen, d_own = np.zeros(len(order), out.dtype), np.zeros_like(own) if grad else None
         for k in range(HEAD_CLASSES):
-            i, (a, b) = order[bounds[k] : bounds[k + 1]], self.first[k : k + 2]
-            if not len(i) or b - a < 2:
+            lo, hi, (a, b) = bounds[k], bounds[k + 1], self.first[k : k + 2]
+            if lo == hi or b - a < 2:
                 continue
-            hk = hs[i]
-            q = hk @ self.word_w[a:b].T + self.word_b[a:b]
+            hk, at, w = own[lo:hi], picked[lo:hi] - a, self.word_w[a:b]
+            q = hk @ w.T
+            q += self.word_b[a:b]
             q -= q.max(axis=1, keepdims=True)
-            p = np.exp(q)
+            rows = every[: hi - lo]
+            chosen[lo:hi] = q[rows, at]
+            p = np.exp(q, out=q)
             total = p.sum(axis=1)
-            at = word[i] - a
-            out[i] += q[np.arange(len(i)), at] - np.log(total)
+            chosen[lo:hi] -= np.log(total)
             if grad:
                 p /= total[:, None]
-                p[np.arange(len(i)), at] -= 1
-                dh[i] += p @ self.word_w[a:b]
-                gs["word_w"][a:b] = p.T @ hk
+                p[rows, at] -= 1
+                np.matmul(p, w, out=d_own[lo:hi])
+                np.matmul(p.T, hk, out=gs["word_w"][a:b])
                 gs["word_b"][a:b] = p.sum(axis=0)
+        out[order] += chosen
+        if grad:
+            dh[order] += d_own
         return (out, dh, gs) if grad else out
 
     def backward(self, x: np.ndarray, kept: tuple, dhs: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the gates at each step and of the recurrent weights; the state before the window is a constant, and that before a ``start`` is zero."""
-        d = HIDDEN
-        dg, du = np.empty((*x.shape, 3 * d), np.float32), np.zeros_like(self.u)
-        dh = np.zeros_like(dhs[0])
-        for t in range(len(x) - 1, -1, -1):
-            h, z, r, n, un = kept[t]
+        d, (before, z, r, n, un) = HIDDEN, kept
+        # What each gate's gradient takes of the state's, for all steps at once.
+        of_n = (1 - z) * (1 - n * n)
+        of_z, of_r = (before - n) * z * (1 - z), of_n * un * r * (1 - r)
+        steps, lanes = x.shape
+        dg, dn_r = np.empty((3, steps, lanes, d), n.dtype), np.empty_like(n)
+        u_z, u_r, u_n = (np.ascontiguousarray(self.u[:, k : k + d].T) for k in (0, d, 2 * d))
+        z, r, dh = np.ascontiguousarray(z), np.ascontiguousarray(r), np.zeros_like(dhs[0])
+        for t in range(steps - 1, -1, -1):
             dh = dh + dhs[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            dg[t, :, :d], dg[t, :, d : 2 * d], dg[t, :, 2 * d :] = dz, dr, dn
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            du += h.T @ da
-            dh = dh * z + da @ self.u.T
+            dz, dr, dn = dg[0, t], dg[1, t], dg[2, t]
+            np.multiply(dh, of_z[t], out=dz)
+            np.multiply(dh, of_r[t], out=dr)
+            np.multiply(dh, of_n[t], out=dn)
+            np.multiply(dn, r[t], out=dn_r[t])
+            dh = dh * z[t] + dz @ u_z + dr @ u_r + dn_r[t] @ u_n
             if start is not None and start[t].any():
                 dh = dh * ~start[t][:, None]
-        return dg, du
+        by = before.reshape(-1, d).T
+        du = np.concatenate([by @ p.reshape(-1, d) for p in (dg[0], dg[1], dn_r)], axis=1)
+        return np.ascontiguousarray(dg.transpose(1, 2, 0, 3)).reshape(steps, lanes, 3 * d), du
 
 
 def _sorted_chunks(docs: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
