@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portloom.llm.common import shared_dir, small, stored
+from portloom.llm.common import shared_dir, stored
 
 UNIT, QGRAM = 200, 24
 WINDOW = UNIT - QGRAM + 1
@@ -40,8 +40,8 @@ BLOCK, PLACE = 1 << 20, (1 << 21) - 1
 #: Bytes of runs refined at a time, if whole buckets allow.
 REFINED = 4 << 20
 HOT = 50_000
-#: Rows of one key from which they aren't shuffled to it; a table has as many such keys as it has rows over this.
-HEAVY = 5_000
+#: Rows of one key from which they are salted, salts, and the most keys that can be heavy.
+HEAVY, SALTS, HEAVY_KEYS = 5_000, 64, 10_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -282,17 +282,19 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose ``on`` is among ``keys`` (each once, with the number ``n`` of its rows), with the keys' other columns.
+    """Rows whose ``on`` is among stored ``keys`` (each once, with the number ``n`` of its rows), with the keys' other columns.
 
-    Keys of more than HEAVY rows, of which there are few, are broadcast and
-    their rows stay where they are; only rows of other keys are shuffled.
+    Rows of heavy keys are salted by their text, and these keys copied for each
+    salt. A key is heavy with more than HEAVY rows and more than a part in
+    HEAVY_KEYS of all, so there are fewer of them than HEAVY_KEYS, and they are broadcast.
     """
-    heavy, light = stored(keys.filter(F.col("n") > HEAVY), "heavy"), keys.filter(F.col("n") <= HEAVY)
-    if not heavy.limit(1).count():
-        return rows.join(keys.drop("n"), on)
-    known = small(heavy.drop("n"))
-    rest = rows.join(small(heavy.select(*on)), on, "left_anti")
-    return rows.join(known, on).unionByName(rest.join(light.drop("n"), on))
+    most = max(HEAVY, (keys.agg(F.sum("n").alias("n")).first()["n"] or 0) // HEAVY_KEYS)
+    heavy = F.col("n") > most
+    known = keys.filter(heavy).select(*on, F.lit(True).alias("_heavy"))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64("k1", "k2"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salted = rows.join(F.broadcast(known), on, "left").withColumn("_salt", salt).drop("_heavy")
+    every = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(keys.withColumn("_salt", F.explode(every)).drop("n"), [*on, "_salt"]).drop("_salt")
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -322,7 +324,7 @@ def repeated(texts: DataFrame, hot: int = HOT) -> DataFrame:
     different = stored(found.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*keys, "pack"), F.col("pack")).alias("at")), "different")
     whole = _met(found, different.filter("n > 1").select("h", "ctx", "n"), ["h", "ctx"]).select(*keys, "pack", F.lit(0).alias("lo"), F.col("pack").bitwiseAND(F.lit(255)).cast("int").alias("hi"))
     unsettled = stored(different.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least")).filter("n > 1 AND least = 1").select("h", "n", F.col("n").alias("m")), "unsettled_anchors")
-    todo = _met(different, unsettled, ["h"]).select("h", "n", "at.*", (F.col("m") > hot).alias("hot"))
+    todo = _met(different.select("h", "n", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.col("at.pack").alias("pack")), unsettled, ["h"]).select("h", "n", *keys, "pack", (F.col("m") > hot).alias("hot"))
     todo = stored(todo.groupBy(*keys, "hot").agg(F.collect_list(F.struct("h", "pack", "n")).alias("own")), "unsettled")
 
     def bytes_of(rows: DataFrame) -> DataFrame:
