@@ -31,8 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, ALPHA, GENERALISE, REMOVE = 8, 0.05, 0.8, 0.97
 #: Contexts are copies of each other if they agree in the words more than so many away from the entity on one side.
 PHRASE = 4
-#: A tail is bounded by that of so many common documents at most, which is above it.
-MOST_COMMON = 64
+#: Factors of a tail's bound that are multiplied one by one; with more of them the same product comes from factorials.
+FACTORS = 64
 #: Disclosing terms broadcast to the workers; with more of them they meet the documents in a join.
 BROADCAST_TERMS = 200_000
 
@@ -253,11 +253,29 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
 
+#: Logarithms of the factorials that Stirling's series is not used for.
+_SMALL_FACTORIALS = [math.lgamma(i + 1) for i in range(32)]
+
+
+def _log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, to the last digits of a double."""
+    z = F.greatest(n, F.lit(len(_SMALL_FACTORIALS))).cast("double")
+    series = z * F.log(z) - z + 0.5 * F.log(2 * math.pi * z) + (1 / 12 - (1 / 360 - 1 / 1260 / (z * z)) / (z * z)) / z
+    small = F.element_at(F.array(*[F.lit(x) for x in _SMALL_FACTORIALS]), (F.least(n, F.lit(len(_SMALL_FACTORIALS) - 1)) + 1).cast("int"))
+    return F.when(n < len(_SMALL_FACTORIALS), small).otherwise(series)
+
+
 def chance(x: Column, k: Column, m: Column, n: int) -> Column:
-    """Upper bound of the chance that k and m of n documents have x or more in common: C(k, x) C(m, x) / C(n, x), as a natural logarithm."""
-    x = F.least(x, F.lit(MOST_COMMON)).cast("int")
-    ratio = lambda i: F.log((k - i) * (m - i) / ((i + 1.0) * F.greatest(F.lit(n) - i, F.lit(1))))
-    return F.aggregate(F.sequence(F.lit(0), x - 1), F.lit(0.0), lambda a, i: a + ratio(i))
+    """Upper bound of the chance that k and m of n documents have x or more in common: C(k, x) C(m, x) / C(n, x), as a natural logarithm.
+
+    All x factors count: the first ones grow where k m > n, so a part of the product would not do.
+    """
+    all_n, few = F.lit(n).cast("bigint"), F.least(x, F.lit(FACTORS)).cast("int")
+    ratio = lambda i: F.log((k - i) * (m - i) / ((i + 1.0) * F.greatest(all_n - i, F.lit(1))))
+    one_by_one = F.aggregate(F.sequence(F.lit(0), few - 1), F.lit(0.0), lambda a, i: a + ratio(i))
+    fact = _log_factorial
+    at_once = fact(k) - fact(k - x) + fact(m) - fact(m - x) + fact(all_n - x) - fact(all_n) - fact(x)
+    return F.when(x <= FACTORS, one_by_one).otherwise(at_once)
 
 
 def disclosures(scan: DataFrame, docs: DataFrame) -> DataFrame:

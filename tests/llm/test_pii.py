@@ -189,3 +189,31 @@ def test_all_spans_match_brute_force(spark):
     want = brute(texts)
     assert sum("term" in w for w in want) > 30
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_the_chance_counts_every_common_context(spark):
+    from math import lgamma
+
+    from pyspark.sql import functions as F
+
+    log_comb = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    cases = [(64, 80, 70, 200), (65, 80, 70, 200), (65, 65, 65, 65), (500, 500, 500, 1000), (900, 1000, 950, 3000), (70_000, 80_000, 90_000, 1_000_000)]
+    for x, k, m, n in cases:
+        got = spark.range(1).select(pii.chance(F.lit(x), F.lit(k), F.lit(m), n)).first()[0]
+        want = log_comb(k, x) + log_comb(m, x) - log_comb(n, x)
+        assert abs(got - want) < 1e-8 + 1e-9 * abs(want), (x, k, m, n)
+
+
+def common_kind():
+    """Every second document has an address of its own, and 'reachable' stands by each of them and nowhere else."""
+    rnd = random.Random(17)
+    filler = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "river", "stone", "cloud"]) for _ in range(n))
+    return [(i, f"{filler(9)} Reachable at user{i}@corp.example.com {filler(9)}" if i % 2 else filler(20)) for i in range(400)]
+
+
+def test_a_term_with_many_common_contexts_is_found(spark):
+    rows = common_kind()
+    text = dict(rows)
+    for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        found = {text[r["doc_id"]][int(s):int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"}
+        assert ("Reachable" in found) == (r["doc_id"] % 2 == 1) and "river" not in found
