@@ -53,3 +53,14 @@ def test_entry_lists_eleven(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+def test_terms_of_a_frequent_kind_are_replaced(spark, tmp_path):
+    """Every second document has an address of its own with the same word beside it, which no other document holds."""
+    rnd = random.Random(17)
+    filler = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "river", "stone", "cloud"]) for _ in range(n))
+    rows = [(i, f"{filler(9)} Reachable at user{i}@corp.example.com {filler(9)}" if i % 2 else filler(20), "en", "s0") for i in range(400)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clean = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["personal data"](spark, docs, str(tmp_path)).collect()}
+    assert len(clean) == 400 and not any("Reachable" in t or "@corp" in t for t in clean.values())
+    assert all(clean[i] == t for i, t, _, _ in rows if i % 2 == 0)
