@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import functools
-import heapq
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,41 +120,141 @@ def modularity(edges: DataFrame, part: DataFrame, cutoffs: Sequence[float]) -> D
     return sums.select("cutoff", (2 * F.col("l") / F.col("d2") - F.col("dd") / F.pow(F.col("d2").cast("double"), F.lit(2))).alias("modularity"))
 
 
-def _merged(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """Community of each node, named by its least member: the two communities whose union raises modularity most become one, until none raises it."""
-    near: dict[int, dict[int, int]] = {}
-    for i, j in pairs:
-        near.setdefault(i, {})[j] = 1
-        near.setdefault(j, {})[i] = 1
-    ends = 2 * len(pairs)
-    degree = {v: sum(x.values()) for v, x in near.items()}
-    member = {v: [v] for v in near}
-    gain = lambda a, b: near[a][b] * ends - degree[a] * degree[b]
-    heap = [(-gain(a, b), a, b) for a in near for b in near[a] if a < b]
-    heapq.heapify(heap)
-    while heap and heap[0][0] < 0:
-        g, a, b = heapq.heappop(heap)
-        if a not in member or b not in member or b not in near[a] or -gain(a, b) != g:
+#: Edges packed into one row for a kernel that holds a whole graph, and arcs sorted at a time there.
+PACKED_EDGES, SORTED_ARCS = 1 << 19, 1 << 23
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (g, i, j) as rows (g, i, j, a, b): the different ends as 64-bit ids, and each edge's places among them, in two bytes where they fit. Loops go."""
+
+    def codes(x: np.ndarray) -> tuple[bytes, bytes]:
+        ids, at = np.unique(x, return_inverse=True)
+        return ids.astype(np.int64).tobytes(), at.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes()
+
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, own in pa.Table.from_batches(held).to_pandas().groupby("g", sort=False, dropna=False):
+            own = own[own["i"] != own["j"]]
+            if len(own):
+                (i, a), (j, b) = codes(own["i"].to_numpy()), codes(own["j"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([None if pd.isna(g) else g], pa.string()), *[pa.array([x], pa.binary()) for x in (i, j, a, b)]], ["g", "i", "j", "a", "b"])
+
+    held, rows = [], 0
+    for x in batches:
+        held.append(x)
+        rows += x.num_rows
+        if rows >= PACKED_EDGES:
+            yield from out(held)
+            held, rows = [], 0
+    if rows:
+        yield from out(held)
+
+
+def _read_packed(rows: Iterator[Sequence[bytes]]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """The nodes of packed edges, sorted, and parts (i, j, a, b): places of the parts' ends among the nodes, and each edge's places among these."""
+    parts = []
+    for i, j, a, b in rows:
+        i, j = np.frombuffer(i, np.int64), np.frombuffer(j, np.int64)
+        parts.append([i, j, *[np.frombuffer(x, np.uint16 if len(ids) <= 1 << 16 else np.uint32) for x, ids in ((a, i), (b, j))]])
+    nodes = np.unique(np.concatenate([x for p in parts for x in p[:2]])) if parts else np.zeros(0, np.int64)
+    for p in parts:
+        p[:2] = (np.searchsorted(nodes, x).astype(np.int32) for x in p[:2])
+    return nodes, parts
+
+
+def _neighbours(rows: Iterator[Sequence[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The nodes of a graph, sorted, and the places of each node's different neighbours, sorted; rows (i, j, a, b) as packed."""
+    nodes, parts = _read_packed(rows)
+    n, arcs = len(nodes), 2 * sum(len(p[2]) for p in parts)
+    near: list[np.ndarray] = []
+    step = max(1, n // max(1, -(-arcs // SORTED_ARCS)))
+    for lo in range(0, n, step):
+        hi, found = min(lo + step, n), []
+        for i, j, a, b in parts:
+            for ids, x, other, y in ((i, a, j, b), (j, b, i, a)):
+                # Ends outside the range are sorted out by their few different ids.
+                at = np.flatnonzero(((ids >= lo) & (ids < hi))[x])
+                found.append((ids[x[at]] - lo).astype(np.int64) * n + other[y[at]])
+        key = np.unique(np.concatenate(found))
+        ends = np.searchsorted(key, np.arange(1, hi - lo) * n)
+        near += [x.copy() for x in np.split((key % n).astype(np.int32), ends)]
+    return nodes, near
+
+
+def _merged(near: list[np.ndarray]) -> np.ndarray:
+    """Community of each node, named by its least member: the two communities whose union raises modularity most become one, until none raises it. Ties go to the lesser names.
+
+    ``near`` has the sorted neighbours of each node and is used up. Rows name
+    communities as they were when the row was last read, and are brought up to
+    date when read again. Each community knows its best partner; where that was
+    merged for the worse, the old gain stays as an upper bound until the
+    community comes out on top.
+    """
+    n = len(near)
+    rows, counts = near, [None] * n
+    degree = np.array([len(x) for x in rows], np.int64)
+    ends = int(degree.sum())
+    name, members = np.arange(n, dtype=np.int32), [np.array([v], np.int32) for v in range(n)]
+    best, partner, stale = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.zeros(n, bool)
+
+    def read(c: int) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours of a community and the gains of a union with each; its best partner is noted."""
+        at = name[rows[c]]
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else order
+        k = np.diff(np.append(first, len(at))) if counts[c] is None else np.add.reduceat(counts[c][order].astype(np.int64), first) if len(at) else first
+        at = at[first]
+        other = at != c
+        at, k = at[other], k[other]
+        rows[c], counts[c] = at, k.astype(np.min_scalar_type(k.max())) if len(k) else k
+        gain = k * ends - degree[c] * degree[at]
+        top = int(gain.argmax()) if len(gain) else -1
+        best[c], partner[c], stale[c] = (gain[top], at[top], False) if len(gain) else (0, -1, False)
+        return at, gain
+
+    for c in range(n):
+        top = int(degree[rows[c]].argmin())
+        partner[c], best[c] = rows[c][top], ends - degree[c] * degree[rows[c][top]]
+    while n:
+        a = int(best.argmax())
+        if best[a] <= 0:
+            break
+        if stale[a]:
+            read(a)
             continue
-        for c, n in near.pop(b).items():
-            del near[c][b]
-            if c != a:
-                near[a][c] = near[c][a] = near[a].get(c, 0) + n
-        degree[a] += degree.pop(b)
-        member[a] += member.pop(b)
-        for c in near[a]:
-            heapq.heappush(heap, (-gain(a, c), min(a, c), max(a, c)))
-    return {v: min(vs) for vs in member.values() for v in vs}
+        b = int(partner[a])
+        name[members[b]] = a
+        members[a] = np.concatenate([members[a], members[b]])
+        degree[a] += degree[b]
+        counts[a] = np.concatenate([np.ones(len(rows[x]), np.uint8) if counts[x] is None else counts[x] for x in (a, b)])
+        rows[a] = np.concatenate([rows[a], rows[b]])
+        rows[b] = counts[b] = members[b] = None
+        best[b], stale[b] = 0, False
+        at, gain = read(a)
+        old, was, open_ = best[at], partner[at], stale[at]
+        touched = (was == a) | (was == b)
+        exact = (gain > old) | (~open_ & (gain == old) & (touched | (was > a)))
+        best[at[exact]], partner[at[exact]], stale[at[exact]] = gain[exact], a, False
+        stale[at[~exact & touched]] = True
+    return name
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """(g, id, community) by greedy modularity, for edges (g, i, j); a graph is worked in one kernel. Ties go to the lesser nodes."""
+    """(g, id, community) by greedy modularity, for edges (g, i, j); a graph is worked in one kernel, which gets its edges packed. Ties go to the lesser nodes."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _merged(sorted({(min(i, j), max(i, j)) for i, j in zip(pdf["i"].tolist(), pdf["j"].tolist(), strict=True) if i != j}))
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(found), "id": list(found), "community": list(found.values())})
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = []
+
+        def rows() -> Iterator[Sequence[bytes]]:
+            for x in batches:
+                g.append(x.column(0)[0].as_py())
+                yield from zip(*(x.column(k).to_pylist() for k in range(1, 5)), strict=True)
+
+        nodes, near = _neighbours(rows())
+        yield pa.RecordBatch.from_arrays([pa.array([g[0]] * len(nodes), pa.string()), pa.array(nodes), pa.array(nodes[_merged(near)])], ["g", "id", "community"])
 
-    return edges.groupBy("g").applyInPandas(kernel, "g string, id bigint, community bigint")
+    packed = edges.select("g", F.col("i").cast("bigint"), F.col("j").cast("bigint")).mapInArrow(_packed, "g string, i binary, j binary, a binary, b binary")
+    return packed.groupBy("g").applyInArrow(kernel, "g string, id bigint, community bigint")
 
 
 def components(ids: DataFrame, edges: DataFrame) -> DataFrame:

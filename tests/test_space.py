@@ -2,7 +2,7 @@
 
 import itertools
 import random
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 
@@ -87,6 +87,49 @@ def test_communities_by_plain_merging(spark):
     assert len(m) == 1 and abs(m[0]["modularity"] - quality(part)) < 1e-9
 
 
+def merged_one_by_one(pairs):
+    """The definition: every pair of joined communities is looked at before each union."""
+    part = {v: v for p in pairs for v in p}
+    while True:
+        degree, between = Counter(part[v] for p in pairs for v in p), Counter(tuple(sorted((part[i], part[j]))) for i, j in pairs if part[i] != part[j])
+        gain, a, b = min(((-(n * 2 * len(pairs) - degree[a] * degree[b]), a, b) for (a, b), n in between.items()), default=(0, 0, 0))
+        if gain >= 0:
+            return part
+        part = {v: a if c == b else c for v, c in part.items()}
+
+
+def test_communities_are_those_of_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(space, "SORTED_ARCS", 40)
+    rnd = random.Random(9)
+    rows, want = [], set()
+    for g in range(30):
+        n = rnd.randrange(3, 26)
+        pairs = {tuple(sorted(rnd.sample([7 * v - 40 for v in range(n)], 2))) for _ in range(rnd.randrange(2, 3 * n))}
+        want |= {(f"g{g}", v, c) for v, c in merged_one_by_one(sorted(pairs)).items()}
+        rows += [(f"g{g}", *(p if rnd.random() < 0.5 else p[::-1])) for p in sorted(pairs) for _ in range(1 + (rnd.random() < 0.2))] + [(f"g{g}", 5000, 5000)]
+    got = space.communities(spark.createDataFrame(rows, "g string, i bigint, j bigint").repartition(7)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_communities_need_few_bytes_an_edge():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, m = 3000, 400_000
+    i, j = rng.integers(0, n, (2, m))
+    keep = (i != j) & ((i % 6 == j % 6) | (rng.random(m) < 0.3))
+    batch = pa.RecordBatch.from_arrays([pa.array(["g"] * int(keep.sum())), pa.array(i[keep]), pa.array(j[keep])], ["g", "i", "j"])
+    rows = [tuple(r.values())[1:] for b in space._packed(iter([batch])) for r in b.to_pylist()]
+    assert sum(map(len, rows[0])) < 4.5 * keep.sum()
+    tracemalloc.start()
+    part = space._merged(space._neighbours(iter(rows))[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 1 < len(set(part.tolist())) < 100 and peak < 100 * keep.sum()
+
+
 def test_betweenness_in_blocks(spark):
     rnd = random.Random(2)
     pairs = sorted({tuple(sorted(rnd.sample(range(20), 2))) for _ in range(40)})
