@@ -130,6 +130,37 @@ def test_communities_need_few_bytes_an_edge():
     assert 1 < len(set(part.tolist())) < 100 and peak < 100 * keep.sum()
 
 
+def test_small_graphs_of_many_blocks(spark, monkeypatch):
+    """Several tasks, blocks and slices of edges; repeated edges, loops and lone nodes; and no wedge ever is a row."""
+    for name, x in {"EGO_TASK": 40, "EGO_NODES": 17, "EGO_EDGES": 100, "EGO_HELD": 60, "PACKED_EDGES": 150}.items():
+        monkeypatch.setattr(space, name, x)
+    rnd = random.Random(6)
+    pairs = {tuple(sorted(rnd.sample(range(0, 270, 3), 2))) for _ in range(900)} | {(3, 900 + k) for k in range(80)} | {(1000 + a, 1000 + b) for a, b in itertools.combinations(range(5), 2)}
+    near = {}
+    for i, j in pairs:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+
+    def clustering(v, within):
+        own = near[v] & within
+        return sum(b in near[a] for a, b in itertools.combinations(own, 2)) * 2 / (len(own) * (len(own) - 1)) if len(own) > 1 else 0.0
+
+    rows = [p if rnd.random() < 0.5 else p[::-1] for p in sorted(pairs)] + [(3, 6), (6, 3), (9, 9)]
+    pairs |= {(3, 6)}
+    near[3].add(6), near[6].add(3)
+    ids = sorted({*near, 2000})
+    got = {r["id"]: r for r in space.ego_networks(spark.createDataFrame([(v,) for v in ids], "id bigint"), spark.createDataFrame(rows, "i bigint, j bigint").repartition(3)).collect()}
+    assert sorted(got) == ids and got[2000]["n_nodes"] == 1 and got[2000]["average_clustering"] == 0
+    for v in near:
+        group = near[v] | {v}
+        n_edges = sum(b in near[a] for a, b in itertools.combinations(group, 2))
+        assert (got[v]["n_nodes"], got[v]["n_edges"]) == (len(group), n_edges)
+        assert abs(got[v]["average_clustering"] - sum(clustering(x, group) for x in group) / len(group)) < 1e-12
+        assert abs(got[v]["clustering"] - clustering(v, group)) < 1e-12 and got[v]["diameter"] == (1 if n_edges * 2 == len(group) * (len(group) - 1) else 2)
+    plan = space.ego_networks(spark.createDataFrame([(v,) for v in ids], "id bigint"), spark.createDataFrame(rows, "i bigint, j bigint"))._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan
+
+
 def test_betweenness_in_blocks(spark):
     rnd = random.Random(2)
     pairs = sorted({tuple(sorted(rnd.sample(range(20), 2))) for _ in range(40)})
