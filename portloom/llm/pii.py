@@ -33,6 +33,8 @@ WINDOW, ALPHA, GENERALISE, REMOVE = 8, 0.05, 0.8, 0.97
 PHRASE = 4
 #: Factors of a tail's bound that are multiplied one by one; with more of them the same product comes from factorials.
 FACTORS = 64
+#: Terms of a tail's sum that are added one by one; those after them enter by the geometric series above them.
+SUMMED = 512
 #: Disclosing terms broadcast to the workers; with more of them they meet the documents in a join.
 BROADCAST_TERMS = 200_000
 
@@ -278,6 +280,24 @@ def chance(x: Column, k: Column, m: Column, n: int) -> Column:
     return F.when(x <= FACTORS, one_by_one).otherwise(at_once)
 
 
+def beyond_chance(x: Column, k: Column, m: Column, n: int, limit: Column) -> Column:
+    """Whether the chance that k and m of n documents have x or more in common is ``limit`` (a natural logarithm) at most.
+
+    ``chance`` settles most pairs. It grows beyond the tail, even beyond 1, where
+    k is most of the documents, so what it refuses is decided by the tail itself.
+    """
+    all_n, fact = F.lit(n).cast("bigint"), lambda i: _log_factorial(F.greatest(i, F.lit(0)))
+    others = all_n - k - m  # below -x if k and m can't have as few in common
+    ratio = lambda i: (k - i) * (m - i) / ((i + 1.0) * F.greatest(others + i + 1, F.lit(1)))
+    first = fact(k) - fact(x) - fact(k - x) + fact(all_n - k) - fact(m - x) - fact(others + x) + fact(m) + fact(all_n - m) - fact(all_n)
+    start = F.struct(F.lit(1.0).alias("next"), F.lit(0.0).alias("sum"))
+    steps = F.sequence(F.lit(0), F.greatest(F.least(k - x, m - x, F.lit(SUMMED)), F.lit(0)).cast("int"))
+    series = F.aggregate(steps, start, lambda a, i: F.struct((a["next"] * ratio(x + i)).alias("next"), (a["sum"] + a["next"]).alias("sum")), lambda a: a["sum"] + a["next"] / F.when(ratio(x) < 1, 1 - ratio(x)))
+    # Each term alone is less than the tail; where terms still grow, x is no more than chance has it.
+    refused = (others + x < 0) | (ratio(x) >= 1) | (first > limit)
+    return F.when(chance(x, k, m, n) <= limit, True).when(refused, False).otherwise(first + F.log(series) <= limit)
+
+
 def disclosures(scan: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of at least GENERALISE, from the stored first pass over all documents.
 
@@ -298,11 +318,11 @@ def disclosures(scan: DataFrame, docs: DataFrame) -> DataFrame:
     # A class stands with a share of all terms; its pairs stay where they are, as classes are as many as kinds.
     of_c, is_class = stored(of_c, "entities"), F.col("c").endswith(":*")
     pairs = pairs.filter(is_class).join(F.broadcast(of_c.filter(is_class)), "c").unionByName(pairs.filter(~is_class).join(of_c.filter(~is_class), "c")).withColumn("k", F.greatest("k", "x"))
-    pairs = stored(pairs.filter(chance(F.col("x"), F.col("k"), F.col("n_ct"), n) <= limit), "likely")
+    pairs = stored(pairs.filter(beyond_chance(F.col("x"), F.col("k"), F.col("n_ct"), n, limit)), "likely")
     if pairs.limit(1).count() == 0:
         return empty
     both = pairs.join(_holding(docs, pairs.select("t").distinct()), "t").withColumn("n_t", F.greatest("n_t", "n_ct"))
-    both = both.filter(chance(F.col("x"), F.col("k"), F.col("n_t"), n) <= limit)
+    both = both.filter(beyond_chance(F.col("x"), F.col("k"), F.col("n_t"), n, limit))
     ic = F.log2(F.lit(float(n)) / F.col("n_c"))
     share = F.log2(F.col("n_ct") * float(n) / (F.col("n_c") * F.col("n_t"))) / F.when(ic > 0, ic)
     return both.select(F.col("c").alias("entity"), F.col("t").alias("term"), share.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)

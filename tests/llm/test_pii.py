@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from portloom.llm import pii
 
 PATTERNS = {
@@ -217,3 +220,30 @@ def test_a_term_with_many_common_contexts_is_found(spark):
     for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
         found = {text[r["doc_id"]][int(s):int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"}
         assert ("Reachable" in found) == (r["doc_id"] % 2 == 1) and "river" not in found
+
+
+def test_chance_is_decided_by_the_tail(spark):
+    """Against sums of whole numbers: frequent and rare entities, tails on both sides of the limit, the least and the most in common."""
+    rnd = random.Random(23)
+    rows = [(10, 10, 10, 1000), (1, 1, 1, 1), (594, 1900, 600, 2000), (580, 1900, 600, 2000), (3, 5, 4, 6), (100, 2000, 5000, 20_000), (690, 2000, 5000, 20_000), (700, 12_000, 1000, 20_000)]
+    for _ in range(150):
+        n = rnd.choice([30, 400, 5000])
+        k, m = rnd.randint(1, n), rnd.randint(1, n)
+        mean = k * m / n
+        rows.append((max(1, min(k, m, int(mean + rnd.uniform(-1, 8) * (mean + 1) ** 0.5))), k, m, n))
+    limit = math.log(1e-6)
+
+    def tail(x, k, m, n):
+        total = c = math.comb(k, x) * math.comb(n - k, m - x)
+        for i in range(x, min(k, m)):
+            c = c * (k - i) * (m - i) // ((i + 1) * (n - k - m + i + 1)) if c else math.comb(k, i + 1) * math.comb(n - k, m - i - 1)
+            total += c
+        return total / math.comb(n, m)
+
+    tails = {r: tail(*r) for r in rows}
+    for n in {r[3] for r in rows}:
+        own = [r for r in rows if r[3] == n]
+        df = spark.createDataFrame([r[:3] for r in own], "x bigint, k bigint, m bigint")
+        got = [r[0] for r in df.select(pii.beyond_chance(F.col("x"), F.col("k"), F.col("m"), n, F.lit(limit))).collect()]
+        assert got == [tails[r] <= 1e-6 for r in own]
+    assert 20 < sum(tails[r] <= 1e-6 for r in rows) < len(rows) - 20
