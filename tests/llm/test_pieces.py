@@ -1,4 +1,5 @@
 import random
+import sys
 
 import pytest
 import sentencepiece
@@ -65,3 +66,46 @@ def test_frames(spark):
     back = {r["doc_id"]: r["text"] for r in pieces.decoded(out, MODEL).collect()}
     assert back[1] == "the thing" and back[4] == "w" * 20_000 and back[3] == ""
     assert pieces.encoded(docs.limit(0), MODEL, ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize(("short", "window", "moves"), [(48, 1 << 19, 1 << 25), (3, 1 << 19, 1 << 25), (48, 20, 1 << 25), (5, 300, 1 << 25), (48, 1000, 1 << 21)])
+def test_texts_searched_together_have_the_ids_of_each(model, library, monkeypatch, short, window, moves):
+    monkeypatch.setattr(pieces, "SHORT", short)
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    monkeypatch.setattr(pieces, "MOVES", moves)
+    if moves < 1 << 25:  # too few for all characters
+        with open(MODEL, "rb") as f:
+            model = pieces.Pieces(f.read())
+        assert 1 < model.width <= model.kind.max()
+    some = [None, "", *list(texts())[::3], "", " \n\n  a\n b \n", "\n", "日" * 100 + " 本", None]
+    got = [ids.tolist() for ids in model.encoded(some)]
+    assert got == [library.encode(t or "") for t in some]
+
+
+def test_pairs_are_judged_again_after_the_table_was_full(library, monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_PAIRS", 64)
+    with open(MODEL, "rb") as f:
+        model = pieces.Pieces(f.read())
+    some = list(texts())[::2]
+    assert [ids.tolist() for ids in model.encoded(some)] == [library.encode(t) for t in some]
+    assert model.fits.held <= 64
+
+
+def test_new_words_take_no_python_call_each(model):
+    rnd = random.Random(5)
+    parts = ["the", "ing", "erst", "un", "re", "tion", "an", "ly", "ñ", "com"]
+    first, second = (" ".join("".join(rnd.choices(parts, k=7)) for _ in range(5000)) for _ in range(2))
+    model.encode(first)
+    calls = 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        ids = model.encode(second)
+    finally:
+        sys.setprofile(None)
+    assert model.decode(ids) == second
+    assert calls < 2500
